@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.llm import bpe
+from pyspark.sql import functions as F
+
+from stratalens.llm import bpe, langid
 from stratalens.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,9 +19,22 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document (segment 0) and of the paragraphs of mixed ones."""
+    return langid.identify(table(spark, sf_dir, "documents"), ["doc_id"]).drop("mixed")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of mixed documents, and documents whose label is missing or wrong."""
+    label = langid.label_language("lang").alias("label")
+    found = langid.identify(table(spark, sf_dir, "documents"), ["doc_id", label])
+    wrong = ~F.col("mixed") & ~F.col("label").eqNullSafe(F.col("lang"))
+    return found.where(wrong | (F.col("segment_no") > 0)).select("doc_id", "segment_no", "lang")
+
+
 def queries() -> dict[str, Query]:
     """Every query of this subpackage."""
-    return {"p6_ids": p6_ids}
+    return {"p6_ids": p6_ids, "p8_found": p8_found, "p8_segments": p8_segments}
 
 
 def oracle_sql() -> dict[str, str]:
