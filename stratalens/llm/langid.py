@@ -94,6 +94,7 @@ def prose(texts: pa.Array) -> Prose:
     """Paragraphs and scorable words."""
     flags, lower = _flags()
     texts = pc.utf8_normalize(texts.fill_null("") if texts.null_count else texts, form="NFC")
+    texts = pc.binary_join_element_wise(texts, "\n", "")  # rows end their lines, so that nothing joins two of them
     data, offsets = raw_bytes(texts)
     points, at = code_points(data) if len(data) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
     rows = np.searchsorted(at, offsets)
@@ -401,7 +402,7 @@ def fit(sample: list[tuple[str, str]]) -> Identifier:
     trusted = (totals.argmax(axis=1) == label[row]) & (letters >= LEAST_LETTERS)
     if trusted.sum() >= 20:
         entropy = -totals[trusted].max(axis=1) / letters[trusted]
-        own.worst = float(np.median(entropy) + 8 * max(entropy.std(), 0.1))
+        own.worst = float(np.median(entropy) + 15 * max(entropy.std(), 0.1))
     return own
 
 

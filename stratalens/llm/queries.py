@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from stratalens.llm import bpe, langid
+from stratalens.llm import bpe, langid, mixing
 from stratalens.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,16 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the number of times each is used in the mix."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target")).documents
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of each source in the mix."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target")).shares
+
+
 def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language and confidence of every document (segment 0) and of the paragraphs of mixed ones."""
     return langid.identify(table(spark, sf_dir, "documents"), ["doc_id"]).drop("mixed")
@@ -34,7 +44,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of this subpackage."""
-    return {"p6_ids": p6_ids, "p8_found": p8_found, "p8_segments": p8_segments}
+    return {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
 
 
 def oracle_sql() -> dict[str, str]:
