@@ -1,0 +1,353 @@
+"""Whether a text is a module of the 1C:Enterprise language: a reader of its whole grammar, in both keyword languages."""
+
+from __future__ import annotations
+
+import re
+import sys
+
+_SPELLINGS = {
+    "if": "если if", "then": "тогда then", "elsif": "иначеесли elsif", "else": "иначе else", "endif": "конецесли endif",
+    "for": "для for", "each": "каждого each", "in": "из in", "to": "по to", "while": "пока while", "do": "цикл do", "enddo": "конеццикла enddo",
+    "procedure": "процедура procedure", "endprocedure": "конецпроцедуры endprocedure", "function": "функция function", "endfunction": "конецфункции endfunction",
+    "var": "перем var", "export": "экспорт export", "val": "знач val", "return": "возврат return", "break": "прервать break", "continue": "продолжить continue",
+    "try": "попытка try", "except": "исключение except", "endtry": "конецпопытки endtry", "raise": "вызватьисключение raise", "goto": "перейти goto",
+    "execute": "выполнить execute", "addhandler": "добавитьобработчик addhandler", "removehandler": "удалитьобработчик removehandler",
+    "new": "новый new", "and": "и and", "or": "или or", "not": "не not", "constant": "истина true ложь false неопределено undefined null",
+}
+_KEYWORDS = {word: key for key, words in _SPELLINGS.items() for word in words.split()}
+#: Words that are names elsewhere.
+_SOFT = {"async": ("асинх", "async"), "await": ("ждать", "await")}
+_OPENS = {"если": "if", "if": "if", "область": "region", "region": "region", "вставка": "insert", "insert": "insert", "удаление": "delete", "delete": "delete"}
+_CLOSES = {"конецесли": "if", "endif": "if", "конецобласти": "region", "endregion": "region", "конецвставки": "insert", "endinsert": "insert", "конецудаления": "delete", "enddelete": "delete"}
+_CONDITION = re.compile(r"(?:\s|[()]|\w)+(?<!\w)(?:тогда|then)\s*", re.I)
+
+_TOKEN = re.compile(
+    r"""(?P<blank>\s+|//[^\n\r]*)"""
+    r"""|(?P<name>[^\W\d]\w*)|(?P<number>\d+(?:\.\d*)?)|(?P<date>'[^'\n\r]*')"""
+    r"""|(?P<string>"(?:[^"\n\r]|"")*(?:(?:\r\n?|\n)(?:[ \t ]*(?://[^\n\r]*)?(?:\r\n?|\n))*[ \t ]*\|(?:[^"\n\r]|"")*)*")"""
+    r"""|(?P<line>\#[^\n\r]*)|(?P<sign><>|<=|>=|[-=<>+*/%()\[\].,;?:~&])"""
+)
+
+
+class Invalid(ValueError):
+    """The text is no module."""
+
+
+def _directive(line: str, held: list[str]) -> None:
+    line = line.split("//")[0][1:].strip()
+    word, _, rest = line.partition(" ") if " " in line else line.partition("\t")
+    word, rest = word.lower(), rest.strip()
+    if word in _OPENS:
+        kind = _OPENS[word]
+        if kind == "if" and not _CONDITION.fullmatch(rest) or kind == "region" and not re.fullmatch(r"[^\W\d]\w*", rest) or kind in ("insert", "delete") and rest:
+            raise Invalid(line)
+        held.append(kind)
+    elif word in _CLOSES:
+        if not held or held.pop() != _CLOSES[word]:
+            raise Invalid(line)
+    elif word in ("иначеесли", "elsif"):
+        if not held or held[-1] != "if" or not _CONDITION.fullmatch(rest):
+            raise Invalid(line)
+    elif word in ("иначе", "else"):
+        if not held or held[-1] != "if" or rest:
+            raise Invalid(line)
+    else:
+        raise Invalid(line)
+
+
+def _tokens(text: str) -> list[tuple[str, str]]:
+    """Kind and text of each token; preprocessor lines are checked and left out."""
+    out, held, at = [], [], 0
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if not m:
+            raise Invalid(text[at : at + 20])
+        kind, found = m.lastgroup, m.group()
+        if kind == "line":
+            if text[text.rfind("\n", 0, at) + 1 : at].strip():
+                raise Invalid(found)
+            _directive(found, held)
+        elif kind == "name":
+            low = found.lower()
+            # after a dot a keyword is a name
+            out.append(("name", low) if out and out[-1][0] == "." else (_KEYWORDS.get(low, "name"), low))
+        elif kind in ("number", "date", "string"):
+            if kind == "number" and re.match(r"\w", text[m.end() : m.end() + 1]):
+                raise Invalid(found)
+            out.append((kind, found))
+        elif kind == "sign":
+            out.append((found, found))
+        at = m.end()
+    if held:
+        raise Invalid(held[-1])
+    out.append(("end", ""))
+    return out
+
+
+_COMPARES = {"=", "<>", "<", ">", "<=", ">=", "+", "-", "*", "/", "%", "and", "or"}
+
+
+class _Reader:
+    def __init__(self, text: str):
+        self.tokens, self.at = _tokens(text), 0
+
+    @property
+    def kind(self) -> str:
+        return self.tokens[self.at][0]
+
+    def take(self, *kinds: str) -> bool:
+        if self.tokens[self.at][0] in kinds:
+            self.at += 1
+            return True
+        return False
+
+    def need(self, *kinds: str) -> None:
+        if not self.take(*kinds):
+            raise Invalid(f"{self.tokens[self.at]} for {kinds}")
+
+    def soft(self, key: str) -> bool:
+        """A word that begins what another name or keyword follows."""
+        kind, low = self.tokens[self.at]
+        if kind == "name" and low in _SOFT[key] and self.tokens[self.at + 1][0] in ("name", "procedure", "function", "new"):
+            self.at += 1
+            return True
+        return False
+
+    # --- expressions
+
+    def expression(self) -> None:
+        while True:
+            while self.take("not", "-", "+"):
+                pass
+            self.operand()
+            if not self.take(*_COMPARES):
+                return
+
+    def operand(self) -> None:
+        self.soft("await")
+        if self.take("string"):
+            while self.take("string"):
+                pass
+        elif self.take("number", "date", "constant"):
+            pass
+        elif self.take("?"):
+            self.need("(")
+            self.expression()
+            self.need(",")
+            self.expression()
+            self.need(",")
+            self.expression()
+            self.need(")")
+            self.chain()
+        elif self.take("new"):
+            if self.take("name"):
+                while self.take("."):
+                    self.need("name")
+                if self.take("("):
+                    self.arguments()
+            else:
+                self.need("(")
+                self.arguments()
+            self.chain()
+        elif self.take("("):
+            self.expression()
+            self.need(")")
+            self.chain()
+        elif self.kind == "execute" or self.kind == "name":
+            self.at += 1
+            if self.take("("):
+                self.arguments()
+            self.chain()
+        else:
+            raise Invalid(str(self.tokens[self.at]))
+
+    def arguments(self) -> None:
+        """Up to the closing bracket; positions may be empty."""
+        while True:
+            if self.kind not in (",", ")"):
+                self.expression()
+            if self.take(")"):
+                return
+            self.need(",")
+
+    def chain(self) -> str:
+        """Members, indexes and calls; the kind of the last one."""
+        last = ""
+        while True:
+            if self.take("."):
+                self.need("name")
+                last = "."
+                if self.take("("):
+                    self.arguments()
+                    last = "("
+            elif self.take("["):
+                self.expression()
+                self.need("]")
+                last = "["
+            else:
+                return last
+
+    # --- statements
+
+    def block(self, *ends: str) -> None:
+        """Statements up to one of the words, which is not taken."""
+        while True:
+            while self.take(";"):
+                pass
+            if self.kind in ends:
+                return
+            if self.take("~"):
+                self.need("name")
+                self.need(":")
+                continue
+            self.statement()
+            if self.kind not in ends:
+                self.need(";")
+
+    def statement(self) -> None:
+        if self.take("if"):
+            self.expression()
+            self.need("then")
+            self.block("elsif", "else", "endif")
+            while self.take("elsif"):
+                self.expression()
+                self.need("then")
+                self.block("elsif", "else", "endif")
+            if self.take("else"):
+                self.block("endif")
+            self.need("endif")
+        elif self.take("for"):
+            if self.take("each"):
+                self.need("name")
+                self.need("in")
+                self.expression()
+            else:
+                self.need("name")
+                self.need("=")
+                self.expression()
+                self.need("to")
+                self.expression()
+            self.loop()
+        elif self.take("while"):
+            self.expression()
+            self.loop()
+        elif self.take("try"):
+            self.block("except")
+            self.need("except")
+            self.block("endtry")
+            self.need("endtry")
+        elif self.take("return"):
+            if self.kind not in (";", "end", "endif", "else", "elsif", "enddo", "except", "endtry", "endprocedure", "endfunction"):
+                self.expression()
+        elif self.take("raise"):
+            if self.take("("):
+                self.arguments()
+                self.chain()
+                if self.take(*_COMPARES):
+                    self.expression()
+            elif self.kind not in (";", "end", "endif", "else", "elsif", "enddo", "except", "endtry", "endprocedure", "endfunction"):
+                self.expression()
+        elif self.take("break", "continue"):
+            pass
+        elif self.take("goto"):
+            self.need("~")
+            self.need("name")
+        elif self.take("execute"):
+            self.expression()
+        elif self.take("addhandler", "removehandler"):
+            self.expression()
+            self.need(",")
+            self.expression()
+        else:
+            self.soft("await")
+            if self.take("new"):
+                self.at -= 1
+                self.operand()
+                return
+            called = False
+            if self.take("("):
+                self.expression()
+                self.need(")")
+            else:
+                self.need("name")
+                if self.take("("):
+                    self.arguments()
+                    called = True
+            last = self.chain()
+            if not (called and not last or last == "("):
+                self.need("=")
+                self.expression()
+
+    def loop(self) -> None:
+        self.need("do")
+        self.block("enddo")
+        self.need("enddo")
+
+    def variables(self) -> None:
+        while True:
+            self.need("name")
+            self.take("export")
+            if not self.take(","):
+                break
+        self.need(";")
+
+    def module(self) -> None:
+        """Variables, methods and the statements of the module itself, in this order."""
+        methods = False
+        while True:
+            marked = False
+            while self.take("&"):
+                self.need("name")
+                if self.take("("):
+                    while not self.take(")"):
+                        if not self.take("name", "=", ",", "string", "number", "date", "constant"):
+                            raise Invalid("annotation")
+                marked = True
+            if self.take("var"):
+                if methods:
+                    raise Invalid("a variable after methods")
+                self.variables()
+                continue
+            self.soft("async")
+            if self.kind not in ("procedure", "function"):
+                if marked:
+                    raise Invalid("directive without a method")
+                break
+            methods = True
+            self.method()
+            while self.take(";"):
+                pass
+        self.block("end")
+
+    def method(self) -> None:
+        end = "end" + self.kind
+        self.at += 1
+        self.need("name")
+        self.need("(")
+        if not self.take(")"):
+            while True:
+                while self.take("&"):
+                    self.need("name")
+                self.take("val")
+                self.need("name")
+                if self.take("="):
+                    self.take("-", "+")
+                    self.need("number", "string", "date", "constant")
+                if self.take(")"):
+                    break
+                self.need(",")
+        self.take("export")
+        while self.take("var"):
+            self.variables()
+        self.block(end)
+        self.need(end)
+
+
+def valid(text: str) -> bool:
+    """Whether the whole text is a module; an empty one is."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))
+    try:
+        _Reader(text).module()
+    except Invalid:
+        return False
+    return True

@@ -1,0 +1,68 @@
+"""One form for texts that look the same to a reader.
+
+Characters nobody sees go; width of letters and spaces is levelled; letters of
+other scripts that are drawn alike become one of them. Case, accents and marks
+stay: a marked letter is levelled by its base and keeps its mark.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from collections.abc import Callable
+from functools import lru_cache
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+_ALIKE = (
+    ("АВЕКМНОРСТУХІЈЅҮԚԜԌӀ", "ABEKMHOPCTYXIJSYQWGI"),  # Cyrillic
+    ("аеорсухіјѕһԁԛԝӏѵ", "aeopcyxijshdqwlv"),
+    ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ", "ABEZHIKMNOPTYXCJ"),  # Greek
+    ("ονϲϳ", "ovcj"),
+    ("Օօ", "Oo"),  # Armenian
+    ("‐‑", "--"),
+)
+
+
+@lru_cache(maxsize=1)
+def _levels() -> tuple[re.Pattern, dict[int, str]]:
+    """Characters nobody sees, and what others become."""
+    unseen, level = [], {ord(a): b for these, those in _ALIKE for a, b in zip(these, those, strict=True)}
+    for c in range(0x110000):
+        char = chr(c)
+        kind = unicodedata.category(char)
+        if kind == "Cf" or c in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0xFE00 <= c <= 0xFE0F or 0xE0100 <= c <= 0xE01EF or 0x180B <= c <= 0x180F:
+            unseen.append(char)
+        elif kind == "Zs":
+            level[c] = " "
+        elif (wide := unicodedata.decomposition(char)).startswith(("<wide>", "<narrow>")):
+            level[c] = unicodedata.normalize("NFD", "".join(chr(int(x, 16)) for x in wide.split()[1:])).translate(level)
+    return re.compile("[" + re.escape("".join(unseen)) + "]"), level
+
+
+def seen_form(text: str) -> str:
+    """The consistent form of a text."""
+    if text.isascii():
+        return text
+    unseen, level = _levels()
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", unseen.sub("", text)).translate(level))
+
+
+def _each(texts: pa.Array, form: Callable[[str], str]) -> pa.Array:
+    """``form`` of each text, once for equal ones of a batch; null stays null."""
+    coded = texts.dictionary_encode()
+    return pa.array([form(t) for t in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
+
+
+@F.arrow_udf(StringType())
+def looks(texts: pa.Array) -> pa.Array:
+    """``seen_form`` of each text."""
+    return _each(texts, seen_form)
+
+
+@F.arrow_udf(StringType())
+def composed(texts: pa.Array) -> pa.Array:
+    """Composed (NFC) characters; Arrow's own utf8_normalize leaves и and a breve apart."""
+    return _each(texts, lambda t: unicodedata.normalize("NFC", t))

@@ -1,0 +1,40 @@
+"""Problem 1: rows whose texts look the same and are not the same characters."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from stratalens.functions.lookalike import looks
+from stratalens.session import materialize
+
+
+def pairs(rows: DataFrame, row_id: str, text: str, within: list[str]) -> DataFrame:
+    """(id_a, id_b) of rows of equal ``within`` with equal looks and different characters.
+
+    Defined results: null texts have no pairs; nulls of ``within`` are equal;
+    a repeated row counts once.
+    """
+    own = rows.where(F.col(text).isNotNull() & F.col(row_id).isNotNull())
+    own = own.select(F.col(row_id).alias("id"), F.col(text).alias("t"), F.to_json(F.struct(*within), {"ignoreNullFields": "false"}).alias("k")).distinct()
+    own = own.withColumn("form", looks("t"))
+    same = W.partitionBy("k", "form")
+    varied = own.withColumn("a", F.min("t").over(same)).withColumn("b", F.max("t").over(same)).where("a != b").select("k", "form", "id", "t")
+    varied = materialize(varied, "varied")  # both sides of the join; the forms are made once
+    right = varied.select("k", "form", F.col("id").alias("id_b"), F.col("t").alias("t_b"))
+    return varied.withColumnRenamed("id", "id_a").join(right, ["k", "form"]).where("id_a < id_b and t != t_b").select("id_a", "id_b").distinct()
+
+
+def found(path_entry: DataFrame, subsystem: DataFrame) -> DataFrame:
+    """p1_found over both tables."""
+    parts = (
+        ("doc_id", pairs(path_entry, "entry_id", "doc_id", ["repo"])),
+        ("object_name", pairs(path_entry, "entry_id", "object_name", ["repo", "category", "module_type"])),
+        ("name", pairs(subsystem, "subsystem_id", "name", ["repo"])),
+    )
+    out = None
+    for name, part in parts:
+        part = part.select(F.lit(name).alias("field_name"), "id_a", "id_b")
+        out = part if out is None else out.unionAll(part)
+    return out

@@ -1,0 +1,83 @@
+"""Problem 3: source files that are not valid for their language, or no form."""
+
+from __future__ import annotations
+
+import json
+import re
+from collections.abc import Iterator
+from xml.parsers import expat
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from stratalens.functions import bsl
+
+#: What must stand before the first element.
+_PROLOG = re.compile(r"(?:<\?xml\s[^>]*?\?>)?(?:(?:\s|<!--.*?-->|<\?(?!xml\s).*?\?>)*<!DOCTYPE[^\[<>]*(?:\[.*?\]\s*)?>)?", re.S)
+_AROUND = "around.the.whole"
+
+
+def xml_reason(text: str) -> str | None:
+    """A document of any number of roots and texts: read to its end or not, and with a form or not."""
+    forms = []
+    parser = expat.ParserCreate("utf-8")  # the text is decoded, whatever it declares
+    parser.StartElementHandler = lambda name, _: name.rpartition(":")[2] == "Form" and forms.append(name)
+    at = _PROLOG.match(text).end()
+    try:
+        parser.Parse(f"{text[:at]}<{_AROUND}>{text[at:]}</{_AROUND}>".encode(), True)
+    except expat.ExpatError:
+        return "parse_incomplete"
+    return None if forms else "no_form_root"
+
+
+def _refuse(name: str):
+    raise ValueError(name)
+
+
+def json_reason(text: str) -> str | None:
+    """One value of RFC 8259, and no NaN or Infinity."""
+    try:
+        json.loads(text, parse_constant=_refuse, parse_int=len, parse_float=len)
+    except (ValueError, RecursionError):
+        return "parse_incomplete"
+    return None
+
+
+def bsl_reason(text: str) -> str | None:
+    return None if bsl.valid(text) else "parse_incomplete"
+
+
+_READERS = {"xml": xml_reason, "json": json_reason, "bsl": bsl_reason}
+
+
+def reason(lang: str, content: str | None) -> str | None:
+    """Why a file is a case; null contents are none, a byte order mark is no error."""
+    return None if content is None else _READERS[lang](content.removeprefix("\ufeff"))
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [reason(lang, content.as_py()) for lang, content in zip(batch.column("lang").to_pylist(), batch.column("content"))]
+        yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)] + [pa.array(found, pa.string())], names=["file_id", "repo", "lang", "reason"])
+
+
+def flags(source_file: DataFrame) -> DataFrame:
+    """(file_id, repo, lang, parse_incomplete, no_form_root) of each file with contents; lang is that of the extension."""
+    lang = F.lower(F.regexp_extract("rel_path", r"\.([^./\\]+)$", 1)).alias("lang")
+    rows = source_file.select("file_id", "repo", lang, "content").where(F.col("lang").isin(*_READERS) & F.col("content").isNotNull())
+    read = rows.mapInArrow(_read, "file_id bigint, repo string, lang string, reason string").distinct()
+    is_so = lambda name: F.col("reason").eqNullSafe(name).alias(name)
+    return read.select("file_id", "repo", "lang", is_so("parse_incomplete"), is_so("no_form_root"))
+
+
+def found(source_file: DataFrame) -> DataFrame:
+    """p3_found: the flagged files."""
+    name = F.when(F.col("parse_incomplete"), "parse_incomplete").when(F.col("no_form_root"), "no_form_root")
+    return flags(source_file).select("file_id", name.alias("reason")).where("reason is not null")
+
+
+def rates(source_file: DataFrame) -> DataFrame:
+    """Files and the rate of each flag per repo and language."""
+    part = lambda name: F.avg(F.col(name).cast("double")).alias(f"{name}_rate")
+    return flags(source_file).groupBy("repo", "lang").agg(F.count("*").alias("files"), part("parse_incomplete"), part("no_form_root"))

@@ -6,12 +6,54 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratalens.operators import forms, lookalikes, orphans, snapshots, sources
+from stratalens.session import table
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows whose texts only look the same."""
+    return lookalikes.found(table(spark, sf_dir, "path_entry"), table(spark, sf_dir, "subsystem"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of files between consecutive snapshots."""
+    return snapshots.diff(table(spark, sf_dir, "manifest"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that are not valid or no form."""
+    return sources.found(table(spark, sf_dir, "source_file"))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of such files per repo and language."""
+    return sources.rates(table(spark, sf_dir, "source_file"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of elements and handlers of forms."""
+    return forms.found(table(spark, sf_dir, "form_info"))
+
+
+def _references(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, name) for name in ("membership", "universe", "subsystem", "metadata_kind")]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References to what is not there."""
+    return orphans.found(*_references(spark, sf_dir))
+
+
+def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Such references per table, month and reason."""
+    return orphans.counts(*_references(spark, sf_dir))
+
+
 def queries() -> dict[str, Query]:
     """Every query of the core."""
-    return {}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts}
 
 
 def oracle_sql() -> dict[str, str]:
