@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.operators import forms, lookalikes, orphans, snapshots, sources
+from stratalens.operators import forms, lookalikes, orphans, search, snapshots, sources
 from stratalens.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,16 +51,25 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.counts(*_references(spark, sf_dir))
 
 
+#: What the flagship looks for.
+WORDS = "регистр document проведение"
+
+
+def search_smart_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents for a query."""
+    return search.ranked(table(spark, sf_dir, "documents"), WORDS)
+
+
 def queries() -> dict[str, Query]:
     """Every query of the core."""
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts, "search_smart_topk": search_smart_topk}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return {}
+    return {"search_smart_topk": search.ranked_sql(WORDS)}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query behind ``entry``."""
-    raise NotImplementedError
+    return search_smart_topk(spark, sf_dir)
