@@ -1,9 +1,9 @@
 """Problem 7: mixing sources to target weights in tokens of a public tokenizer.
 
-The total is cut into blocks of equal tokens. Sainte-Laguë apportionment gives
-the blocks to sources by highest quotients of their weights, then each source's
-blocks to its shards by highest quotients of their tokens. In a shard the
-documents are taken in a seeded order until the shard's quota is met.
+Sainte-Laguë apportionment gives the tokens of the total to sources by highest
+quotients of their weights, then each source's tokens to its shards by highest
+quotients of their own, so that a source at its cap gets all its tokens. In a
+shard the documents are taken in a seeded order until the shard's quota is met.
 
 The total is, unless given, the largest at which every source can make up its
 weight without using a document more than ``max_repeats`` times. A source
@@ -30,8 +30,8 @@ from pyspark.sql import Window as W
 from stratalens.llm.bpe import DEFAULT_VOCABULARY, count_tokens
 from stratalens.session import materialize
 
-#: Blocks the total is cut into, and documents a shard holds about; shards bound the groups that one task orders.
-BLOCKS, SHARD_ROWS = 200_000, 20_000
+#: Documents a shard holds about; shards bound the groups that one task orders.
+SHARD_ROWS = 20_000
 
 
 def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray | None = None) -> np.ndarray:
@@ -46,9 +46,11 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray | None = None
     given = np.zeros(len(weights), np.int64)
     if seats <= 0:
         return given
+    if seats == caps.sum():
+        return caps
     # the largest price at which no more than the seats are sold
     low, high = 0.0, float(weights.max()) * 2
-    sold = lambda price: np.minimum(caps, np.floor((weights / price + 1) / 2).astype(np.int64))
+    sold = lambda price: np.minimum(caps, np.floor((weights / price + 1) / 2)).astype(np.int64)
     for _ in range(200):
         middle = (low + high) / 2
         if middle <= low or middle >= high:
@@ -68,12 +70,11 @@ def sainte_lague(weights: np.ndarray, seats: int, caps: np.ndarray | None = None
 class Plan:
     """Token quotas of the sources."""
 
-    block: int
-    table: pd.DataFrame  # source, weight, target_share, max_repeats, available, blocks
+    table: pd.DataFrame  # source, weight, target_share, max_repeats, available, quota
 
 
-def plan_sources(totals: pd.DataFrame, targets: pd.DataFrame, total_tokens: int | None = None, blocks: int = BLOCKS) -> Plan:
-    """Blocks of each source of the targets; ``totals`` has source and available tokens."""
+def plan_sources(totals: pd.DataFrame, targets: pd.DataFrame, total_tokens: int | None = None) -> Plan:
+    """Tokens of each source of the targets; ``totals`` has source and available tokens."""
     t = targets.merge(totals, on="source", how="left")
     t["available"] = t["available"].fillna(0).astype("int64")
     t["weight"] = t["weight"].fillna(0.0).clip(lower=0)
@@ -83,19 +84,15 @@ def plan_sources(totals: pd.DataFrame, targets: pd.DataFrame, total_tokens: int
     t["target_share"] = usable / usable.sum() if usable.sum() > 0 else 0.0
     if total_tokens is None:
         total_tokens = int((most / t["target_share"])[t["target_share"] > 0].min()) if (t["target_share"] > 0).any() else 0
-    block = max(1, total_tokens // blocks)
-    t["blocks"] = sainte_lague(t["target_share"].to_numpy(), total_tokens // block, (most // block).to_numpy())
-    return Plan(block, t)
+    t["quota"] = sainte_lague(t["target_share"].to_numpy(), total_tokens, most.to_numpy())
+    return Plan(t)
 
 
-def _shard_quotas(block: int):
-    def quotas(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("shard")
-        caps = group["tokens"] * group["max_repeats"] // block
-        given = sainte_lague(group["tokens"].to_numpy(), int(group["blocks"].iloc[0]), caps.to_numpy())
-        return pd.DataFrame({"source": group["source"], "shard": group["shard"], "tokens": group["tokens"], "quota": given * block})
-
-    return quotas
+def _shard_quotas(group: pd.DataFrame) -> pd.DataFrame:
+    group = group.sort_values("shard")
+    caps = group["tokens"] * group["max_repeats"]
+    given = sainte_lague(group["tokens"].to_numpy(), int(group["quota"].iloc[0]), caps.to_numpy())
+    return pd.DataFrame({"source": group["source"], "shard": group["shard"], "tokens": group["tokens"], "quota": given})
 
 
 @dataclass
@@ -106,7 +103,7 @@ class Mix:
     shares: DataFrame
 
 
-def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, vocabulary: str = DEFAULT_VOCABULARY, shard_rows: int = SHARD_ROWS, blocks: int = BLOCKS) -> Mix:
+def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, vocabulary: str = DEFAULT_VOCABULARY, shard_rows: int = SHARD_ROWS) -> Mix:
     """``documents`` (doc_id, source, n_tokens, uses) and the report of shares."""
     spark = documents.sparkSession
     sized = materialize(count_tokens(documents, ["doc_id", "source"], "text", vocabulary), "token_sizes").where("n_tokens > 0 and source is not null")
@@ -114,14 +111,14 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     per_source = sized.groupBy("source").agg(F.sum("n_tokens").alias("available"), F.count("*").alias("rows"))
     goal = target.toPandas()  # the table of targets is configuration: as many rows as sources to mix
     found = per_source.join(target, "source", "left_semi").toPandas()
-    plan = plan_sources(found[["source", "available"]], goal, total_tokens, blocks)
+    plan = plan_sources(found[["source", "available"]], goal, total_tokens)
     shards = max(1, math.ceil(int(found["rows"].sum()) / shard_rows))
-    kept = plan.table[["source", "weight", "target_share", "max_repeats", "blocks"]]
-    goals = spark.createDataFrame([tuple(r) for r in kept.astype(object).itertuples(index=False)], "source string, weight double, target_share double, max_repeats bigint, blocks bigint")
+    kept = plan.table[["source", "weight", "target_share", "max_repeats", "quota"]]
+    goals = spark.createDataFrame([tuple(r) for r in kept.astype(object).itertuples(index=False)], "source string, weight double, target_share double, max_repeats bigint, quota bigint")
     shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(shards))
     rows = sized.withColumn("shard", shard)
-    totals = rows.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens")).join(goals.where("blocks > 0").select("source", "max_repeats", "blocks"), "source")
-    quotas = totals.groupBy("source").applyInPandas(_shard_quotas(plan.block), "source string, shard bigint, tokens bigint, quota bigint").where("quota > 0")
+    totals = rows.groupBy("source", "shard").agg(F.sum("n_tokens").alias("tokens")).join(goals.where("quota > 0").select("source", "max_repeats", "quota"), "source")
+    quotas = totals.groupBy("source").applyInPandas(_shard_quotas, "source string, shard bigint, tokens bigint, quota bigint").where("quota > 0")
     order = W.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     placed = rows.join(quotas, ["source", "shard"]).withColumn("stop", F.sum("n_tokens").over(order))
     rest = F.col("quota") % F.col("tokens")
@@ -134,7 +131,7 @@ def _shares(chosen: DataFrame, per_source: DataFrame, goals: DataFrame) -> DataF
     taken = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mixed_tokens"), F.count("*").alias("documents_used"), F.max("uses").alias("most_uses"))
     whole = F.sum("mixed_tokens").over(W.partitionBy(F.lit(1)))  # one row a source
     return (
-        goals.drop("blocks")
+        goals.drop("quota")
         .join(per_source.drop("rows"), "source", "full")
         .join(taken, "source", "left")
         .withColumn("whole", whole)

@@ -1,0 +1,24 @@
+"""Quotas of sources and of their shards."""
+
+import numpy as np
+import pandas as pd
+
+from stratalens.llm.mixing import _shard_quotas, plan_sources, sainte_lague
+
+
+def test_caps_that_hold_all_seats_end():
+    assert sainte_lague(np.array([3.0, 5.0]), 10_000_000, np.array([4, 6])).tolist() == [4, 6]
+    assert sainte_lague(np.array([1e-9, 1e6]), 11, np.array([5, 10])).tolist() == [1, 10]
+    assert sainte_lague(np.array([53.0, 24, 23]), 7).tolist() == [3, 2, 2]
+
+
+def test_a_source_at_its_cap_gets_all_its_tokens():
+    rng = np.random.default_rng(1)
+    tokens = rng.integers(900, 1100, 1500)
+    totals = pd.DataFrame({"source": ["scarce", "rich"], "available": [int(tokens.sum()), 10**9]})
+    plan = plan_sources(totals, pd.DataFrame({"source": ["scarce", "rich"], "weight": [0.01, 0.99], "max_repeats": [3, 1]})).table
+    assert plan["quota"].tolist() == [3 * tokens.sum(), 99 * 3 * tokens.sum()]
+    group = pd.DataFrame({"source": "scarce", "shard": np.arange(1500), "tokens": tokens, "max_repeats": 3, "quota": plan["quota"][0]})
+    assert (_shard_quotas(group)["quota"] == 3 * group["tokens"]).all()
+    part = _shard_quotas(group.assign(quota=2 * tokens.sum()))["quota"]
+    assert part.sum() == 2 * tokens.sum() and (abs(part - 2 * tokens) <= 1).all()
