@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from stratalens.llm.codepoints import LIMIT, code_points, raw_bytes, slices
 from stratalens.llm.langseeds import NAMES, SEEDS
@@ -415,21 +416,22 @@ def label_language(label: str | Column) -> Column:
 
 
 def sample_rows(df: DataFrame, text: str, label: str, per_language: int = 300, longest: int = 20_000) -> list[tuple[str, str]]:
-    """At most ``per_language`` labelled rows of each language, chosen by a hash of the text.
+    """At most ``per_language`` different labelled texts of each language, chosen by a hash of the text.
 
     The bound holds for the training rows alone; rows longer than ``longest``
-    characters aren't used for training.
+    characters aren't used for training, and copies of a text count once.
     """
     rows = df.select(label_language(label).alias("l"), F.col(text).alias("t")).where("l is not null and t is not null")
-    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # eight rows
+    rows = rows.where(F.length("t") <= longest).withColumn("h", F.xxhash64("t"))
+    sizes = {r.l: r.n for r in rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()}  # eight rows
     if not sizes:
         return []
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.3 * per_language / n))])
-    drawn = rows.where((F.length("t") <= longest) & (F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < share[F.col("l")] * 1_000_003))
+    drawn = rows.where(F.pmod("h", F.lit(1_000_003)) < share[F.col("l")] * 1_000_003).groupBy("l", "h").agg(F.min("t").alias("t"))
+    order = W.partitionBy("l").orderBy("h")  # of about 1.3 x per_language rows a language
     out: dict[str, list] = {}
-    for r in drawn.orderBy(F.xxhash64("t"), "t", "l").limit(2 * per_language * len(LANGUAGES)).collect():  # bounded
-        if len(own := out.setdefault(r.l, [])) < per_language:
-            own.append((r.l, r.t))
+    for r in drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).orderBy("h", "l").collect():  # bounded
+        out.setdefault(r.l, []).append((r.l, r.t))
     return [x for lang in LANGUAGES for x in out.get(lang, [])]
 
 

@@ -1,0 +1,15 @@
+"""Training sample, prose and rejection of language identification."""
+
+from pyspark.sql import functions as F
+
+from stratalens.llm import langid
+
+
+def test_copies_of_one_text_leave_room_for_others(spark):
+    texts = spark.range(3000).select(F.concat(F.lit("some text "), "id").alias("text"))
+    first = texts.where(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < 70_000).orderBy(F.xxhash64("text")).first().text
+    copies = spark.range(5000).select(F.lit(first).alias("text"), F.lit("en").alias("lang"))
+    few = spark.range(20).select(F.concat(F.lit("ein Text "), "id").alias("text"), F.lit("de").alias("lang"))
+    others = spark.range(20).select(F.concat(F.lit("a text "), "id").alias("text"), F.lit("en").alias("lang"))
+    got = langid.sample_rows(copies.unionAll(few).unionAll(others), "text", "lang")
+    assert len(got) == len(set(got)) == 41 and sum(lang == "de" for lang, _ in got) == 20
