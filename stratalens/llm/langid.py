@@ -8,7 +8,8 @@ small a margin are rejected: they never make a document mixed.
 
 Words are what is scored. Equal words of a batch are scored once, so the cost
 follows the vocabulary, not the corpus. Code, names in several cases, dotted
-names, quotations and bracketed remarks are left out, for prose decides.
+names, short quotations and bracketed remarks are left out, for prose decides;
+where a document has no other prose, its quotations, remarks and headings do.
 
 Defined results: null, empty and blank texts, and texts without any prose, give
 no row; repeated documents give repeated results; ties go to the first language
@@ -77,8 +78,35 @@ def _flags() -> tuple[np.ndarray, np.ndarray]:
     return flags, lower
 
 
+#: A quotation of more characters is prose; what stands within it is judged as elsewhere.
+LONGEST_QUOTATION = 80
+_QUOTED = frozenset("«„“\"'{<")
+
+
 def _blank_out(match: re.Match) -> str:
-    return " " * (match.end() - match.start())
+    found = match.group()
+    if found[0] in _QUOTED and len(found) > LONGEST_QUOTATION + 2:
+        return found[0] + _NOT_PROSE.sub(_blank_out, found[1:-1]) + found[-1]
+    return " " * len(found)
+
+
+def _blank_out_code(match: re.Match) -> str:
+    """Quotations, remarks and headings stay."""
+    found = match.group()
+    if found[0] in "«„“\"'([—" or found.lstrip().startswith("# "):
+        return found[0] + _NOT_PROSE.sub(_blank_out_code, found[1:])
+    return " " * len(found)
+
+
+def _restore(text: str, points: np.ndarray, blanked: np.ndarray, row: np.ndarray, words: np.ndarray) -> None:
+    """Put quotations, remarks and headings back where a row would keep no prose, for then they are its prose."""
+    left = np.zeros(int(row[-1]) + 1, bool)
+    left[row[(words[points] & _WORD) != 0]] = True
+    kept = np.zeros(len(left), bool)
+    kept[row[(words[blanked] & _WORD) != 0]] = True
+    for k in np.flatnonzero(left & ~kept):
+        begin, end = np.searchsorted(row, [k, k + 1])
+        blanked[begin:end] = np.frombuffer(_NOT_PROSE.sub(_blank_out_code, text[begin:end]).encode("utf-32-le"), np.uint32)
 
 
 @dataclass
@@ -124,8 +152,9 @@ def prose(texts: pa.Array) -> Prose:
     row = row_of_line[opens]
     # what is not prose becomes blanks; the length stays
     text = data.tobytes().decode("utf-8").replace("\r", "\n")
-    text = _NOT_PROSE.sub(_blank_out, text)
-    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    blanked = np.frombuffer(_NOT_PROSE.sub(_blank_out, text).encode("utf-32-le"), np.uint32).copy()
+    _restore(text, points, blanked, row_of_line[line], flags)
+    points = blanked
     kinds = flags[points]
     kept = np.flatnonzero((kinds & _FORMAT) == 0)
     points, kinds, line = points[kept], kinds[kept], line[kept]

@@ -1,5 +1,7 @@
 """Training sample, prose and rejection of language identification."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from stratalens.llm import langid
@@ -13,3 +15,21 @@ def test_copies_of_one_text_leave_room_for_others(spark):
     others = spark.range(20).select(F.concat(F.lit("a text "), "id").alias("text"), F.lit("en").alias("lang"))
     got = langid.sample_rows(copies.unionAll(few).unionAll(others), "text", "lang")
     assert len(got) == len(set(got)) == 41 and sum(lang == "de" for lang, _ in got) == 20
+
+
+def _words(text):
+    return [[unicodedata.normalize("NFC", w.decode()) for w in langid.prose(langid.pa.array([t])).words.to_pylist()] for t in ([text] if isinstance(text, str) else text)]
+
+
+def test_long_quotations_are_prose():
+    long = "the stock of the warehouse is counted anew at the end of each month and then written down by the clerk"
+    for a, b in ("«»", "„“", "“”", '""', "''", "{}", "<>"):
+        assert _words(f"Здесь {a}{long}{b} и {a}short one{b} всё") == [["здесь", *long.split(), "и", "всё"]]
+    assert _words(f'экран 5" {long} 7" всё') == [["экран", *long.split(), "всё"]]
+
+
+def test_a_document_of_quotations_alone_keeps_them():
+    assert _words(["«Остаток не найден»", "# Общее описание", "(см. раздел)", "`code` «да»"]) == [["остаток", "не", "найден"], ["общее", "описание"], ["см", "раздел"], ["да"]]
+    assert _words(["`code`", "&НаСервере", "#Область Код", "|\tИЗ Таблица", "Запись «нет» готова"]) == [[], [], [], [], ["запись", "готова"]]
+    found = langid.prose(langid.pa.array(["«да»\n\nтекст", None, "«нет»"]))
+    assert [w.decode() for w in found.words.to_pylist()] == ["текст", "нет"] and found.row.tolist() == [0, 0, 2]
