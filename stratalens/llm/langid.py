@@ -4,14 +4,17 @@ One interpolated Kneser-Ney model of characters per language; the n-grams of
 all models lie in sorted hash arrays with a column per language. A paragraph
 gets the language of the lowest cross-entropy per character; the margin over
 the runner-up gives the confidence, and paragraphs with too little prose or too
-small a margin are rejected: they never make a document mixed.
+small a margin, or unlike all languages, are rejected: they never make a
+document mixed. So are documents that aren't mixed. The scale of the
+confidences and the bound are fitted on held-out rows of the sample.
 
 Words are what is scored. Equal words of a batch are scored once, so the cost
 follows the vocabulary, not the corpus. Code, names in several cases, dotted
 names, short quotations and bracketed remarks are left out, for prose decides;
 where a document has no other prose, its quotations, remarks and headings do.
 
-Defined results: null, empty and blank texts, and texts without any prose, give
+Defined results: a rejected document has a row without a language, and its
+confidence; p8_found leaves it out; null, empty and blank texts, and texts without any prose, give
 no row; repeated documents give repeated results; ties go to the first language
 of ``LANGUAGES``; texts are read to their end, however long.
 """
@@ -40,6 +43,8 @@ LANGUAGES = tuple(SEEDS)
 ORDER = 5
 #: A paragraph with fewer letters of prose, or a lower confidence, is rejected.
 LEAST_LETTERS, LEAST_CONFIDENCE = 8, 0.9
+#: Every so many training rows one is held out; scales to choose from.
+HELD_OUT, SCALES = 5, np.geomspace(0.05, 2, 60)
 
 _APOSTROPHES = (0x27, 0x2019, 0x2BC)
 _WORD, _UPPER, _LOWER, _BLANK, _FORMAT, _TIED = 1, 2, 4, 8, 16, 32
@@ -367,6 +372,7 @@ class Identifier:
         seg_best = lean.argmax(axis=1)
         seg_top = self.confidence(lean).max(axis=1)
         doc_best, doc_top = whole.argmax(axis=1), self.confidence(whole).max(axis=1)
+        doc_best = np.where(mixed | self.sure(whole, many), doc_best, -1)  # a rejected document has no language
         number = np.arange(len(row)) - first[group] + 1
         inner = mixed[group]
         has = many > 0
@@ -419,21 +425,45 @@ def fit(sample: list[tuple[str, str]]) -> Identifier:
     found = prose(texts)
     names = [w.decode("utf-8") for w in found.words.dictionary.to_pylist()]
     codes = np.asarray(found.words.indices)
+    held = np.arange(len(label)) % HELD_OUT == 0  # never trained on
     for _ in range(2):
         row, totals, letters = own.paragraphs(texts)
-        trusted = (totals.argmax(axis=1) == label[row]) & (letters >= LEAST_LETTERS)
+        trusted = (totals.argmax(axis=1) == label[row]) & (letters >= LEAST_LETTERS) & ~held[row]
         counts = {k: Counter(v) for k, v in seeds.items()}
         keep = trusted[found.paragraph]
         pair, n = np.unique(np.stack([label[row[found.paragraph[keep]]], codes[keep]]), axis=1, return_counts=True)
         for (lang, code), times in zip(pair.T.tolist(), n.tolist()):
             counts[LANGUAGES[lang]][names[code]] += times
         own = Identifier(train({k: _variants(v) for k, v in counts.items()}))
+    _calibrate(own, pa.array([t for (_, t), out in zip(sample, held) if out], pa.string()), label[held])
+    return own
+
+
+def _calibrate(own: Identifier, texts: pa.Array, label: np.ndarray) -> None:
+    """Scale and entropy bound from held-out paragraphs whose label agrees.
+
+    The scale makes the confidences of their pieces of three words most likely:
+    of a whole paragraph the language is known, of its pieces it must be found.
+    """
+    found = prose(texts)
     row, totals, letters = own.paragraphs(texts)
     trusted = (totals.argmax(axis=1) == label[row]) & (letters >= LEAST_LETTERS)
-    if trusted.sum() >= 20:
-        entropy = -totals[trusted].max(axis=1) / letters[trusted]
-        own.worst = float(np.median(entropy) + 15 * max(entropy.std(), 0.1))
-    return own
+    if trusted.sum() < 20:
+        return
+    entropy = -totals[trusted].max(axis=1) / letters[trusted]
+    own.worst = float(np.median(entropy) + 15 * max(entropy.std(), 0.1))  # between other subjects, to 1.9 on sf0.1, and other languages, from 3.5
+    scores = own.scores[own._entries(found.words.dictionary.to_pylist())][np.asarray(found.words.indices)]
+    opens = np.diff(found.paragraph, prepend=-1) != 0
+    place = np.arange(len(opens)) - np.maximum.accumulate(np.where(opens, np.arange(len(opens)), 0))
+    first = np.flatnonzero(place % 3 == 0)
+    held = trusted[found.paragraph[first]] & (np.add.reduceat(found.letters, first) >= LEAST_LETTERS)
+    pieces, truth = np.add.reduceat(scores, first, axis=0)[held], label[row[found.paragraph[first]]][held]
+    if len(pieces) < 50:
+        return
+    margin = pieces - pieces.max(axis=1, keepdims=True)
+    own_margin = margin[np.arange(len(truth)), truth]
+    loss = [np.mean(np.log(np.exp(margin * x).sum(axis=1)) - own_margin * x) for x in SCALES]
+    own.scale = float(SCALES[int(np.argmin(loss))])
 
 
 def label_language(label: str | Column) -> Column:
@@ -467,7 +497,7 @@ def sample_rows(df: DataFrame, text: str, label: str, per_language: int = 300, l
 def _batches(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        names = np.array(LANGUAGES, object)
+        names = np.array([*LANGUAGES, None], object)
         for batch in batches:
             texts, done = batch.column(batch.num_columns - 1), 0
             for piece in slices(texts, 4 << 20):

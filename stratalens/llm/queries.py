@@ -38,7 +38,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of mixed documents, and documents whose label is missing or wrong."""
     label = langid.label_language("lang").alias("label")
     found = langid.identify(table(spark, sf_dir, "documents"), ["doc_id", label])
-    wrong = ~F.col("mixed") & ~F.col("label").eqNullSafe(F.col("lang"))
+    wrong = ~F.col("mixed") & F.col("lang").isNotNull() & ~F.col("label").eqNullSafe(F.col("lang"))
     return found.where(wrong | (F.col("segment_no") > 0)).select("doc_id", "segment_no", "lang")
 
 

@@ -33,3 +33,14 @@ def test_a_document_of_quotations_alone_keeps_them():
     assert _words(["`code`", "&НаСервере", "#Область Код", "|\tИЗ Таблица", "Запись «нет» готова"]) == [[], [], [], [], ["запись", "готова"]]
     found = langid.prose(langid.pa.array(["«да»\n\nтекст", None, "«нет»"]))
     assert [w.decode() for w in found.words.to_pylist()] == ["текст", "нет"] and found.row.tolist() == [0, 0, 2]
+
+
+def test_rejection_reaches_documents_and_is_calibrated(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    own = langid.fit(langid.sample_rows(df, "text", "lang"))
+    assert own.scale != langid.Identifier.scale and own.worst < 8
+    texts = ["Il saldo del magazzino viene controllato alla fine di ogni mese e poi registrato", "在仓库中查看所有货物的余额并记录每月的结果", "Остаток товаров на складе проверяется в конце каждого месяца", "Да"]
+    got = own.segments(langid.pa.array(texts))
+    assert got["lang"].tolist() == [-1, -1, langid.LANGUAGES.index("ru"), -1]
+    rows = langid.identify(df.unionByName(spark.createDataFrame([(-1, texts[1])], "doc_id long, text string"), allowMissingColumns=True), ["doc_id"]).where("doc_id = -1").collect()
+    assert [(r.segment_no, r.lang) for r in rows] == [(0, None)]
