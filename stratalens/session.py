@@ -6,7 +6,8 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +59,44 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a table that is broadcast; a row of the tables concerned is below 200 bytes.
+BROADCAST_ROWS = 500_000
+
+
+def sized_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
+    """``df`` written once, and whether it has no more than ``most`` rows; if so it is marked for broadcast."""
+    held = materialize(df, "sized")
+    small = held.limit(most + 1).count() <= most
+    return (F.broadcast(held) if small else held), small
+
+
+#: Parts a hot key of the larger side is split into where the other side can't be broadcast.
+SALTS = 16
+
+
+def lookup_join(rows: DataFrame, held: DataFrame, on: list[str], how: str, spread: str, condition: Column | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined to the smaller table ``held`` on null-safe equal ``on``, and ``condition`` if given.
+
+    ``held`` is broadcast where it has no more than ``most`` rows. Beyond that
+    both are shuffled by the keys and a salt of ``spread``, which splits a hot
+    key of ``rows`` among tasks and repeats ``held``. The columns of ``on`` come
+    from ``rows``. ``how`` is one of inner, left, left_semi and left_anti.
+    """
+    other, small = sized_broadcast(held, most)
+    named = other.select(*[F.col(c).alias(f"__{c}") for c in on], *[c for c in held.columns if c not in on])
+    equal = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on]
+    if small:
+        named = F.broadcast(named)
+    else:
+        rows = rows.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+        named = named.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        equal.append(F.col("__salt") == F.col("__part"))
+    whole = equal[0]
+    for more in equal[1:] + ([] if condition is None else [condition]):
+        whole = whole & more
+    return rows.join(named, whole, how).drop("__salt", "__part", *[f"__{c}" for c in on])
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
