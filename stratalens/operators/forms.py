@@ -1,67 +1,191 @@
-"""Problem 4: the events of forms and of their elements, with parents and positions."""
+"""Problem 4: nested form payloads as linked flat tables.
+
+The payloads of an Arrow batch are indexed together (``functions.jsonindex``).
+One pass per nesting level then gives each value its part: form, element, event,
+command or dynamic list. Rows keep the path of their element, the path of its
+parent and their position.
+"""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _get(entry: dict, key: str):
-    """A value whose key may begin with a capital."""
-    found = entry.get(key)
-    return entry.get(key[0].upper() + key[1:]) if found is None else found
-
-
-def _entries(entry: dict, key: str) -> list:
-    """A collection; a bare object is its only entry."""
-    found = _get(entry, key)
-    return found if isinstance(found, list) else [found] if isinstance(found, dict) else []
+from stratalens.functions import jsonindex
+
+#: Keys that are read; each may begin with a capital.
+KEYS = ("name", "title", "type", "dataPath", "event", "handler", "action", "mainTable", "manualQuery", "parseIncomplete", "noFormRoot", "elements", "childItems", "events", "handlers", "commands", "dynamicLists")
+_NAMES = [*KEYS, *(k[0].upper() + k[1:] for k in KEYS)]
+_ROLE = {k: n for n, k in enumerate(KEYS)}
+
+#: Parts of a form. A list's state is that of its entries plus _LIST.
+FORM, ELEMENT, EVENT, COMMAND, DYNAMIC_LIST = range(1, 6)
+_LIST = 10
+_RECORDS = {"form": FORM, "element": ELEMENT, "event": EVENT, "command": COMMAND, "dynamic_list": DYNAMIC_LIST}
+_COLLECTIONS = ((FORM, "elements", ELEMENT), (ELEMENT, "childItems", ELEMENT), (ELEMENT, "events", EVENT), (FORM, "handlers", EVENT), (FORM, "commands", COMMAND), (FORM, "dynamicLists", DYNAMIC_LIST))
+
+_TEXTS = ("name", "title", "type", "dataPath", "event", "handler", "action", "mainTable", "manualQuery")
+_SCHEMA = pa.schema(
+    [("form_id", pa.int64()), ("record", pa.string()), ("element_path", pa.string()), ("parent_path", pa.string()), ("position", pa.int32()), ("depth", pa.int32())]
+    + [(k, pa.string()) for k in ("name", "title", "type", "data_path", "event_name", "handler", "action", "main_table", "manual_query")]
+    + [("parse_incomplete", pa.bool_()), ("no_form_root", pa.bool_())]
+)
+_SPARK_SCHEMA = "form_id bigint, record string, element_path string, parent_path string, position int, depth int, name string, title string, type string, data_path string, event_name string, handler string, action string, main_table string, manual_query string, parse_incomplete boolean, no_form_root boolean"
+
+#: Bytes indexed at once, and rows of an output batch.
+_BYTES, _ROWS = 2 << 20, 20_000
+
+
+def _chosen(nodes: jsonindex.Nodes) -> tuple[np.ndarray, np.ndarray]:
+    """The role of each node and whether it is the one its parent's role is read from.
+
+    Of equal keys the last counts; a key with a small first letter goes before
+    one with a capital, unless its value is null.
+    """
+    code = nodes.codes(_NAMES)
+    role, capital = np.where(code >= 0, code % len(KEYS), -1), code >= len(KEYS)
+    at = np.flatnonzero(role >= 0)
+    order = at[np.lexsort((at, capital[at], role[at], nodes.parent[at]))]
+    last = np.ones(len(order), bool)
+    last[:-1] = (nodes.parent[order[1:]] != nodes.parent[order[:-1]]) | (role[order[1:]] != role[order[:-1]]) | (capital[order[1:]] != capital[order[:-1]])
+    order = order[last]
+    weight = np.where(capital[order], 1, np.where(nodes.kind[order] == 0x6E, 0, 2))  # n begins null alone
+    order = order[np.lexsort((weight, role[order], nodes.parent[order]))]
+    last = np.ones(len(order), bool)
+    last[:-1] = (nodes.parent[order[1:]] != nodes.parent[order[:-1]]) | (role[order[1:]] != role[order[:-1]])
+    chosen = np.zeros(len(role), bool)
+    chosen[order[last]] = True
+    return role, chosen
+
+
+def _parts(nodes: jsonindex.Nodes, role: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State, owning form or element, and position of each node, level by level."""
+    state, owner, position = np.zeros(len(role), np.int64), np.full(len(role), -1), nodes.position.copy()
+    order = np.argsort(nodes.depth, kind="stable")
+    borders = np.searchsorted(nodes.depth[order], np.arange(int(nodes.depth.max(initial=-1)) + 2))
+    for a, b in zip(borders[:-1], borders[1:]):
+        here = order[a:b]
+        if a == 0:
+            state[here[nodes.kind[here] == 0x7B]] = FORM
+            continue
+        up = nodes.parent[here]
+        above = state[up]
+        if not above.any():
+            break
+        member = (above > _LIST) & (nodes.kind[here] == 0x7B)
+        state[here[member]] = above[member] - _LIST
+        owner[here[member]] = owner[up[member]]
+        for holder, key, entry in _COLLECTIONS:
+            found = (above == holder) & (role[here] == _ROLE[key]) & chosen[here]
+            many, one = found & (nodes.kind[here] == 0x5B), found & (nodes.kind[here] == 0x7B)
+            state[here[many]], state[here[one]] = entry + _LIST, entry
+            owner[here[found]] = up[found]
+            position[here[one]] = 1
+    return state, owner, position
+
+
+def _rows(nodes: jsonindex.Nodes, records: Iterable[str]) -> Iterator[tuple]:
+    """The rows of the wanted records: text number first, then as in the schema."""
+    role, chosen = _chosen(nodes)
+    state, owner, position = _parts(nodes, role, chosen)
+    path, above, depth = {-1: None}, {}, {}
+    for i in np.flatnonzero((state == FORM) | (state == ELEMENT)).tolist():  # owners stand before what they own
+        up = int(owner[i])
+        path[i] = "" if up < 0 else f"{path[up]}.{position[i]}" if path[up] else str(position[i])
+        above[i], depth[i] = path[up], 0 if up < 0 else depth[up] + 1
+    child = {}
+    for k in (*_TEXTS, "parseIncomplete", "noFormRoot"):
+        own = np.flatnonzero(chosen & (role == _ROLE[k]))
+        child[k] = dict(zip(nodes.parent[own].tolist(), own.tolist()))
+    value = lambda k, i: None if (at := child[k].get(i)) is None else nodes.value(at)
+    for record in records:
+        for i in np.flatnonzero(state == _RECORDS[record]).tolist():
+            mine = i if record in ("form", "element") else int(owner[i])
+            texts = [value(k, i) for k in _TEXTS]
+            if record == "event":
+                texts[4:6] = (x or "" for x in texts[4:6])
+            flags = [None if record != "form" or (x := value(k, i)) not in ("true", "false") else x == "true" for k in ("parseIncomplete", "noFormRoot")]
+            yield int(nodes.text[i]), record, path[mine], above[mine], 1 if record == "form" else int(position[i]), depth[mine], *texts, *flags
+
+
+def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about _BYTES; a longer text stands alone."""
+    begin, held = 0, 0
+    for i, size in enumerate(sizes.tolist()):
+        if held and held + size > _BYTES:
+            yield begin, i
+            begin, held = i, 0
+        held += size
+    if begin < len(sizes):
+        yield begin, len(sizes)
+
+
+def _reader(records: tuple[str, ...]):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[tuple] = []
+
+        def emitted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*waiting), _SCHEMA)], schema=_SCHEMA)
+
+        for batch in batches:
+            form, payload = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())
+            offsets = np.frombuffer(payload.buffers()[1], np.int64)[payload.offset : payload.offset + len(payload) + 1]
+            whole = np.frombuffer(payload.buffers()[2] or b"", np.uint8)
+            for a, b in _slices(np.diff(offsets)):
+                data, starts = whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                marks = starts[:-1][[data[s : s + 3].tobytes() == b"\xef\xbb\xbf" for s in starts[:-1]]]
+                if len(marks):
+                    data = data.copy()
+                    data[(marks[:, None] + np.arange(3)).ravel()] = 0x20
+                for number, *row in _rows(jsonindex.index(data, starts), records):
+                    waiting.append((form[a + number], *row))
+                    if len(waiting) >= _ROWS:
+                        yield emitted()
+                        waiting = []
+        if waiting:
+            yield emitted()
+
+    return read
+
+
+def flatten(form_info: DataFrame, records: tuple[str, ...] = tuple(_RECORDS)) -> DataFrame:
+    """All records of each form's latest delivery: form, element, event, command and dynamic_list.
+
+    The path of an event, command or list is that of its element, '' being the
+    form. Positions count null entries, which give no row; a bare object has
+    position 1.
+
+    Defined results: of equal loaded_at the greater payload holds, null before
+    all; a latest payload that is null, empty, no JSON or no object gives no
+    rows; rows without form_id are no forms; of repeated keys the last counts,
+    and a small first letter goes before a capital unless its value is null; a
+    collection that is no list and no object is empty; a missing or null event
+    or handler is ''; other missing texts are null; a value that is no string
+    comes out as it is written.
+    """
+    latest = form_info.where("form_id is not null").groupBy("form_id").agg(F.max(F.struct("loaded_at", "payload")).alias("x"))
+    return latest.select("form_id", "x.payload").where("payload is not null").mapInArrow(_reader(records), _SPARK_SCHEMA)
 
 
-def _text(value) -> str:
-    return value if isinstance(value, str) else "" if value is None else json.dumps(value, ensure_ascii=False)
-
-
-def events(payload: str | None) -> Iterator[tuple[str, int, str, str]]:
-    """(element_path, event_pos, event_name, handler); no rows of what is not a JSON object."""
-    try:
-        form = json.loads(payload.removeprefix("\ufeff")) if payload else None
-    except ValueError:
-        return
-    if not isinstance(form, dict):
-        return
-    waiting = [("", form, "handlers", "elements")]
-    while waiting:
-        path, entry, own, inner = waiting.pop()
-        for at, event in enumerate(_entries(entry, own), 1):
-            if isinstance(event, dict):
-                yield path, at, _text(_get(event, "event")), _text(_get(event, "handler"))
-        for at, child in enumerate(_entries(entry, inner), 1):
-            if isinstance(child, dict):
-                waiting.append((f"{path}.{at}" if path else str(at), child, "events", "childItems"))
+def found(form_info: DataFrame) -> DataFrame:
+    """p4_found: the events of elements and the handlers of forms."""
+    return flatten(form_info, ("event",)).select("form_id", "element_path", F.col("position").alias("event_pos"), "event_name", "handler")
 
 
-_ROWS = 20_000
-_SCHEMA = pa.schema([("form_id", pa.int64()), ("element_path", pa.string()), ("event_pos", pa.int32()), ("event_name", pa.string()), ("handler", pa.string())])
+def forms(form_info: DataFrame) -> DataFrame:
+    """One row a form."""
+    return flatten(form_info, ("form",)).select("form_id", "name", "title", "parse_incomplete", "no_form_root")
 
 
-def _flatten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows = []
-    for batch in batches:
-        for form, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-            rows.extend((form, *event) for event in events(payload.as_py()))
-            if len(rows) >= _ROWS:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
-                rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), _SCHEMA)], schema=_SCHEMA)
+def elements(form_info: DataFrame) -> DataFrame:
+    """One row an element, linked to the element that holds it by parent_path ('' for the form)."""
+    return flatten(form_info, ("element",)).select("form_id", "element_path", "parent_path", "position", "depth", "name", "type", "title", "data_path")
 
 
-def found(form_info: DataFrame) -> DataFrame:
-    """p4_found: the events of each form's latest delivery; of equal loaded_at the greater payload holds."""
-    latest = form_info.groupBy("form_id").agg(F.max(F.struct("loaded_at", "payload")).alias("x")).select("form_id", "x.payload").where("payload is not null")
-    return latest.mapInArrow(_flatten, "form_id bigint, element_path string, event_pos int, event_name string, handler string")
+def commands(form_info: DataFrame) -> DataFrame:
+    """One row a command or dynamic list of a form."""
+    return flatten(form_info, ("command", "dynamic_list")).select("form_id", "record", "position", "name", "title", "action", "main_table", "manual_query")
