@@ -22,6 +22,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.diff(table(spark, sf_dir, "manifest"))
 
 
+def p2_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the changed fields of modified files."""
+    return snapshots.changes(table(spark, sf_dir, "manifest"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source files that are not valid or no form."""
     return sources.found(table(spark, sf_dir, "source_file"))
@@ -37,6 +42,21 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.found(table(spark, sf_dir, "form_info"))
 
 
+def p4_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of the latest deliveries."""
+    return forms.forms(table(spark, sf_dir, "form_info"))
+
+
+def p4_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of forms with their parents."""
+    return forms.elements(table(spark, sf_dir, "form_info"))
+
+
+def p4_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands and dynamic lists of forms."""
+    return forms.commands(table(spark, sf_dir, "form_info"))
+
+
 def _references(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     return [table(spark, sf_dir, name) for name in ("membership", "universe", "subsystem", "metadata_kind")]
 
@@ -62,12 +82,18 @@ def search_smart_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of the core."""
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_counts": p5_counts, "search_smart_topk": search_smart_topk}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_changes": p2_changes, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_forms": p4_forms, "p4_elements": p4_elements, "p4_commands": p4_commands, "p5_found": p5_found, "p5_counts": p5_counts, "search_smart_topk": search_smart_topk}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return {"search_smart_topk": search.ranked_sql(WORDS)}
+    return {
+        "p2_found": f"select repo, gen, rel_path, diff_kind from ({snapshots.diff_sql()})",
+        "p2_changes": snapshots.diff_sql(),
+        "p5_found": orphans.orphans_sql(orphans.FOUND_SQL),
+        "p5_counts": orphans.orphans_sql(orphans.COUNTS_SQL),
+        "search_smart_topk": search.ranked_sql(WORDS),
+    }
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
