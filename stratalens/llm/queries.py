@@ -5,15 +5,49 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
-from stratalens.llm import bpe, langid, mixing
+from stratalens.llm import bpe, langid, lookalikes, mixing, validity
 from stratalens.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of rows whose texts only look the same."""
+    return lookalikes.found(table(spark, sf_dir, "path_entry"), table(spark, sf_dir, "subsystem"))
+
+
+def p1_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consistent form of every text, with its mixed and whole-script words."""
+    return lookalikes.forms(table(spark, sf_dir, "path_entry"), table(spark, sf_dir, "subsystem"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files that are not valid or no form."""
+    return validity.found(table(spark, sf_dir, "source_file"))
+
+
+def p3_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both flags of every file, and its first error."""
+    return validity.flags(table(spark, sf_dir, "source_file"))
+
+
+def p3_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every error of every file."""
+    return validity.errors(table(spark, sf_dir, "source_file"))
+
+
+def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of flagged files per repo and language."""
+    return validity.rates(table(spark, sf_dir, "source_file"))
+
+
+def p3_acceptance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accepted files per language."""
+    return validity.acceptance(table(spark, sf_dir, "source_file"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document by the public vocabulary."""
     return bpe.encode(table(spark, sf_dir, "documents"), ["doc_id"])
@@ -44,7 +78,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of this subpackage."""
-    return {"p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
+    own = (p1_found, p1_forms, p3_found, p3_flags, p3_errors, p3_rates, p3_acceptance, p6_ids, p7_mix, p7_shares, p8_found, p8_segments)
+    return {q.__name__: q for q in own}
 
 
 def oracle_sql() -> dict[str, str]:
