@@ -6,17 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.operators import forms, lookalikes, orphans, search, snapshots, sources
+from stratalens.operators import forms, orphans, search, snapshots
 from stratalens.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of rows whose texts only look the same."""
-    return lookalikes.found(table(spark, sf_dir, "path_entry"), table(spark, sf_dir, "subsystem"))
-
-
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of files between consecutive snapshots."""
     return snapshots.diff(table(spark, sf_dir, "manifest"))
@@ -27,16 +22,6 @@ def p2_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.changes(table(spark, sf_dir, "manifest"))
 
 
-def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source files that are not valid or no form."""
-    return sources.found(table(spark, sf_dir, "source_file"))
-
-
-def p3_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates of such files per repo and language."""
-    return sources.rates(table(spark, sf_dir, "source_file"))
-
-
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of elements and handlers of forms."""
     return forms.found(table(spark, sf_dir, "form_info"))
@@ -82,7 +67,7 @@ def search_smart_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """Every query of the core."""
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_changes": p2_changes, "p3_found": p3_found, "p3_rates": p3_rates, "p4_found": p4_found, "p4_forms": p4_forms, "p4_elements": p4_elements, "p4_commands": p4_commands, "p5_found": p5_found, "p5_counts": p5_counts, "search_smart_topk": search_smart_topk}
+    return {"p2_found": p2_found, "p2_changes": p2_changes, "p4_found": p4_found, "p4_forms": p4_forms, "p4_elements": p4_elements, "p4_commands": p4_commands, "p5_found": p5_found, "p5_counts": p5_counts, "search_smart_topk": search_smart_topk}
 
 
 def oracle_sql() -> dict[str, str]:

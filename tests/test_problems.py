@@ -1,81 +1,96 @@
-"""Problems 1 to 5 on small tables made by hand."""
+"""Problems 2, 4 and 5 on small tables made by hand, and against plain versions."""
 
 import datetime as dt
 import json
+import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
-from stratalens.functions import bsl
-from stratalens.functions.lookalike import seen_form
-from stratalens.operators import forms, lookalikes, orphans, snapshots, sources
+from stratalens.functions import bloom, jsonindex
+from stratalens.operators import forms, orphans, snapshots
+from stratalens.session import lookup_join
 
 DAY = lambda n: dt.datetime(2025, 1, n)
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=repr)
 
 
 def test_all_are_registered():
-    assert {f"p{n}_found" for n in range(1, 6)} <= set(__spark_entry__.queries())
+    assert {f"p{n}_found" for n in (2, 4, 5)} <= set(__spark_entry__.queries())
 
 
-def test_looks():
-    assert seen_form("Cклад") == seen_form("С\u200bклад") == seen_form("Ｃклад")
-    assert seen_form("Уче\u0308т") == seen_form("Учёт") == seen_form("Учëт")
-    assert len({seen_form(x) for x in ("Учёт", "Учет", "учёт", "Рейсов", "Реисов", "а б", "аб")}) == 7
-    assert seen_form("a\u3000b") == "a b"
+# --- problem 2
 
+MANIFEST = "repo string, gen string, gen_at timestamp, rel_path string, mtime_ms long, size long, loaded_at timestamp, doc_id string, diff_kind string"
+FILES = [
+    ("r", "z", DAY(1), "./A\\B.bsl", 1, 1, DAY(1)), ("r", "z", DAY(1), "old", 1, None, DAY(1)), ("r", "z", DAY(1), "й", 1, None, DAY(1)),
+    ("r", "a", DAY(8), "A/B.bsl", 9, 1, DAY(8)), ("r", "a", DAY(8), "A/B.bsl", 1, 1, DAY(9)), ("r", "a", DAY(8), "й", 1, 2, DAY(8)), ("r", "a", DAY(8), "new", 1, 1, DAY(8)),
+    ("r", "m", DAY(22), "old", 1, 1, DAY(22)), ("q", "z", DAY(1), "x", 1, 1, DAY(1)),
+]
 
-def test_p1(spark):
-    entry = spark.createDataFrame(
-        [(1, "r", "Склад", "К", "Склад", "М"), (2, "r", "Cклад", "К", "Cклад", "Н"), (3, "q", "Cклад", "К", "x", "М"), (4, "r", "склад", "К", "Cклaд", "М"), (2, "r", "Cклад", "К", "Cклад", "Н")],
-        "entry_id long, repo string, doc_id string, category string, object_name string, module_type string",
-    )
-    nodes = spark.createDataFrame([(7, "r", "Oпт"), (5, "r", "Опт"), (6, "r", "Опт"), (8, "r", None)], "subsystem_id long, repo string, name string")
-    assert rows(lookalikes.found(entry, nodes)) == [("doc_id", 1, 2), ("name", 5, 7), ("name", 6, 7), ("object_name", 1, 4)]
+
+def manifest(spark, files):
+    return spark.createDataFrame([(*f, "d", "clash") for f in files], MANIFEST)
 
 
 def test_p2(spark):
-    files = [
-        ("r", "z", DAY(1), "./A\\B.bsl", 1, 1, DAY(1)), ("r", "z", DAY(1), "old", 1, None, DAY(1)), ("r", "z", DAY(1), "и\u0306", 1, None, DAY(1)),
-        ("r", "a", DAY(8), "A/B.bsl", 9, 1, DAY(8)), ("r", "a", DAY(8), "A/B.bsl", 1, 1, DAY(9)), ("r", "a", DAY(8), "й", 1, 2, DAY(8)), ("r", "a", DAY(8), "new", 1, 1, DAY(8)),
-        ("r", "m", DAY(22), "old", 1, 1, DAY(22)), ("q", "z", DAY(1), "x", 1, 1, DAY(1)),
-    ]
-    got = rows(snapshots.diff(spark.createDataFrame(files, "repo string, gen string, gen_at timestamp, rel_path string, mtime_ms long, size long, loaded_at timestamp")))
-    assert got == [
+    got = rows(snapshots.diff(manifest(spark, FILES + FILES[:3] * 50)))
+    assert got == sorted([
         ("r", "a", "new", "added"), ("r", "a", "old", "deleted"), ("r", "a", "й", "modified"),
         ("r", "m", "A/B.bsl", "deleted"), ("r", "m", "new", "deleted"), ("r", "m", "old", "added"), ("r", "m", "й", "deleted"),
-    ]
+    ], key=repr)
+    assert ("r", "a", "й", "modified", "size") in rows(snapshots.changes(manifest(spark, FILES)))
 
 
-GOOD = [
-    "", "// only <<<<<<< remarks", "Перем А Экспорт;\n\n&НаСервере\nПроцедура П(Знач А = -1, Б)\n\tЕсли А <> 1 Тогда\n\t\tБ.В(, А)[1].Г = ?(А > 0, А, -А);\n\tИначеЕсли Не А Тогда Возврат\n\tКонецЕсли\nКонецПроцедуры",
-    'A = "SELECT\n// remark\n|<<<<<<< ""x""";\nВыполнить("x");', "#If Server Then\nFunction F() Export\nFor Each X In Y Do Break EndDo;\nTry Raise; Except EndTry;\nReturn '20250101';\nEndFunction\n#EndIf", "~М: А = Новый Массив(1); Перейти ~М",
-]
-BAD = ["Процедура П()", "Если А Тогда Б();", "А = (1;", 'А = "x', "А + 1;", "<<<<<<< HEAD\nА = 1;", "# Readme", "#Область А", "А() Б();", "Процедура П()\nКонецФункции", "А = 1 +;", "Для А = 1 Цикл КонецЦикла;", '{"a": 1}']
+def test_p2_edges(spark):
+    assert snapshots.diff(manifest(spark, [])).count() == 0
+    nulls = [(None, "a", DAY(1), "x", None, None, None), (None, "b", DAY(2), "x", None, 0, None), (None, "b", DAY(2), None, 1, 1, DAY(1)), (None, None, DAY(3), "x", None, 0, DAY(1)), (None, "b", None, "x", None, None, None)]
+    assert rows(snapshots.changes(manifest(spark, nulls))) == sorted([(None, "b", "x", "modified", "size"), (None, "b", None, "added", ""), (None, None, None, "deleted", "")], key=repr)
+    long = "д/" * 50_000 + "x.bsl"
+    assert rows(snapshots.diff(manifest(spark, [("r", "a", DAY(1), "y", 1, 1, DAY(1)), ("r", "b", DAY(2), "y", 1, 1, DAY(1)), ("r", "b", DAY(2), "./" + long, 1, 1, DAY(1))]))) == [("r", "b", long, "added")]
 
 
-@pytest.mark.parametrize("text", GOOD)
-def test_bsl_valid(text):
-    assert bsl.valid(text)
+# --- problem 4
 
 
-@pytest.mark.parametrize("text", BAD)
-def test_bsl_invalid(text):
-    assert not bsl.valid(text)
+def plain_events(payload):
+    """The same read value by value."""
+    text = payload.removeprefix("﻿") if payload else ""
+    try:
+        form = json.loads(text, parse_constant=lambda _: 1 / 0)
+    except (ValueError, ZeroDivisionError):
+        return
+    get = lambda e, k: e.get(k) if e.get(k) is not None else e.get(k[0].upper() + k[1:])
+    entries = lambda e, k: x if isinstance(x := get(e, k), list) else [x] if isinstance(x, dict) else []
+    waiting = [("", form, "handlers", "elements")] if isinstance(form, dict) else []
+    while waiting:
+        path, entry, own, inner = waiting.pop()
+        for at, event in enumerate(entries(entry, own), 1):
+            if isinstance(event, dict):
+                yield path, at, get(event, "event") or "", get(event, "handler") or ""
+        for at, child in enumerate(entries(entry, inner), 1):
+            if isinstance(child, dict):
+                waiting.append((f"{path}.{at}" if path else str(at), child, "events", "childItems"))
 
 
-def test_p3(spark):
-    texts = {
-        ("a.XML", '\ufeff<?xml version="1.0" encoding="windows-1251"?><!-- c --><a><v:Form/></a>tail'): None, ("b.xml", "plain text"): "no_form_root", ("c.xml", ""): "no_form_root", ("d.xml", "<a/><b/>"): "no_form_root",
-        ("e.xml", "<Form><a></Form>"): "parse_incomplete", ("f.xml", "<Form>"): "parse_incomplete", ("g.json", "[NaN]"): "parse_incomplete", ("h.json", '\ufeff{"a": [1, "\\u0430"]}'): None,
-        ("i.json", ""): "parse_incomplete", ("j.bsl", "Процедура"): "parse_incomplete", ("k.bsl", "\ufeff// x"): None, ("l.xml", None): None,
-    }
-    df = spark.createDataFrame([(n, "r", p, t) for n, (p, t) in enumerate(texts)] + [(1, "r", "b.xml", "plain text")], "file_id long, repo string, rel_path string, content string")
-    assert rows(sources.found(df)) == [(n, why) for n, why in enumerate(texts.values()) if why]
-    assert rows(sources.rates(df))[1] == ("r", "json", 3, 2 / 3, 0.0)
+def random_payload(rng, depth=0):
+    cap = lambda k: k[0].upper() + k[1:] if rng.random() < 0.3 else k
+    some = lambda make: rng.choice([None, [], "x", 3, make(), [make(), None, make()], [[make()], make()]])
+    event = lambda: {cap("event"): rng.choice(["A", None, "ё\"\\\n"]), cap("handler"): rng.choice(["h", None, ""]), "x": {"event": "no"}}
+    out = {cap("name"): "n", "tooltip": {"events": [event()]}, cap("handlers" if not depth else "events"): some(event), "events" if not depth else "handlers": some(event)}
+    if depth < 4:
+        out[cap("elements" if not depth else "childItems")] = some(lambda: random_payload(rng, depth + 1))
+    items = list(out.items())
+    rng.shuffle(items)
+    return dict(items)
+
+
+FORM = "form_id long, loaded_at timestamp, payload string, position int, record string"
 
 
 def test_p4(spark):
@@ -83,19 +98,97 @@ def test_p4(spark):
         "Handlers": [None, {"Event": "A", "Handler": None}], "handlers": None,
         "elements": {"childItems": [None, {"Events": {"event": "B", "handler": "h"}, "ChildItems": [{"events": [{"event": "C"}, None, {"event": "D", "handler": "d"}]}]}]},
     }
-    df = spark.createDataFrame([(1, DAY(1), json.dumps(old)), (1, DAY(2), json.dumps(new)), (2, DAY(1), json.dumps(old)), (2, DAY(2), None)], "form_id long, loaded_at timestamp, payload string")
+    df = spark.createDataFrame([(1, DAY(1), json.dumps(old), 0, ""), (1, DAY(2), json.dumps(new), 0, ""), (2, DAY(1), json.dumps(old), 0, ""), (2, DAY(2), None, 0, "")], FORM)
     assert rows(forms.found(df)) == [(1, "", 2, "A", ""), (1, "1.2", 1, "B", "h"), (1, "1.2.1", 1, "C", ""), (1, "1.2.1", 3, "D", "d")]
-
-
-def test_p5(spark):
-    member = [(1, "r", "Catalog.A", DAY(5)), (2, "r", "Справочник.A", DAY(1)), (3, "r", "Catalog.A", DAY(9)), (4, "q", "Catalog.A", DAY(5)), (5, "r", "Catalog.A", DAY(2)), (6, "r", "", DAY(2)), (7, "r", None, DAY(2)), (8, "r", "Catalog.A", DAY(10)), (4, "q", "Catalog.A", DAY(5))]
-    life = [("r", "Справочник.A", DAY(2), DAY(9)), ("r", "Catalog.A", DAY(10), None)]
-    nodes = [(1, "r", "П.А", None), (2, "r", "П.А.Б", "П.А"), (3, "q", "П.А.Б", "П.А"), (4, "r", "П.В.Г", "П.A"), (5, "r", "П.Д", "")]
-    given = (
-        spark.createDataFrame([(i, r, o, t) for i, r, o, t in member], "member_id long, repo string, object string, seen_at timestamp"),
-        spark.createDataFrame(life, "repo string, object string, first_seen timestamp, deleted_at timestamp"),
-        spark.createDataFrame([(*x, DAY(3)) for x in nodes], "subsystem_id long, repo string, path string, parent_path string, read_at timestamp"),
+    assert [r[1:5] for r in rows(forms.elements(df))] == [("1", "", 1, 1), ("1.2", "1", 2, 2), ("1.2.1", "1.2", 1, 3)]
+    assert rows(forms.forms(df)) == [(1, None, None, None, None)]
+
+
+def test_p4_brute_force(spark):
+    rng = random.Random(7)
+    texts = [json.dumps(random_payload(rng), ensure_ascii=rng.random() < 0.5, indent=rng.choice([None, 2])) for _ in range(400)]
+    texts += ["", " ", "[]", "null", "{", "﻿" + texts[0], texts[1][:-1], '{"a": 1,}', "nonsense", '{"handlers": [{"\\u0065vent": "E", "handler": 5}]}']
+    texts.append('{"elements": [' + '{"childItems": [' * 400 + '{"events": [{"event": "deep"}]}' + "]}" * 400 + "]}")
+    texts.append(json.dumps({"handlers": [{"event": "e" * 100_000, "handler": "h"}] * 60}))
+    df = spark.createDataFrame([(n, DAY(1), t, 0, "") for n, t in enumerate(texts)] + [(-1, None, None, 0, ""), (None, DAY(1), texts[0], 0, "")], FORM)
+    expected = sorted([(n, *(str(x) if isinstance(x, int) and i > 1 else x for i, x in enumerate(e))) for n, t in enumerate(texts) for e in plain_events(t)], key=repr)
+    assert rows(forms.found(df)) == expected
+    assert forms.found(df.limit(0)).count() == 0
+
+
+def test_json_index_agrees():
+    rng = random.Random(3)
+    texts = []
+    for _ in range(3000):
+        text = json.dumps(random_payload(rng, 3), ensure_ascii=rng.random() < 0.5)
+        for _ in range(rng.randint(0, 2)):
+            at = rng.randrange(len(text))
+            text = rng.choice([text[:at] + text[at + 1 :], text[:at] + rng.choice('{}[]:,"\\ 1tn\x01u') + text[at:], text[:at] or "1"])
+        texts.append(text)
+    parts = [t.encode() for t in texts]
+    nodes = jsonindex.index(np.frombuffer(b"".join(parts), np.uint8), np.append(0, np.cumsum([len(p) for p in parts])))
+    for n, text in enumerate(texts):
+        try:
+            json.loads(text, parse_constant=lambda _: 1 / 0)
+            ok = True
+        except (ValueError, ZeroDivisionError):
+            ok = False
+        assert bool(nodes.well[n]) == ok, text
+    assert set(nodes.text.tolist()) == set(np.flatnonzero(nodes.well).tolist())
+
+
+# --- problem 5
+
+
+def references(spark, member, life, nodes):
+    return (
+        spark.createDataFrame([(i, r, o, t, "x") for i, r, o, t in member], "member_id long, repo string, object string, seen_at timestamp, h string"),
+        spark.createDataFrame([(*x, "x") for x in life], "repo string, object string, first_seen timestamp, deleted_at timestamp, kind string"),
+        spark.createDataFrame([(*x, DAY(3), "x") for x in nodes], "subsystem_id long, repo string, path string, parent_path string, read_at timestamp, reason string"),
         spark.createDataFrame([("Catalog", "Catalogs", "Справочник")], "singular_eng string, plural_eng string, russian_name string"),
     )
-    assert rows(orphans.found(*given)) == [("membership", 2, "late"), ("membership", 3, "deleted"), ("membership", 4, "missing"), ("subsystem", 3, "missing"), ("subsystem", 4, "missing")]
-    assert rows(orphans.counts(*given))[-1] == ("subsystem", "2025-01", "missing", 2)
+
+
+MEMBER = [
+    (1, "r", "Catalog.A", DAY(5)), (2, "r", "Справочник.A", DAY(1)), (3, "r", "Catalog.A", DAY(9)), (4, "q", "Catalog.A", DAY(5)), (5, "r", "Catalog.A", DAY(2)), (6, "r", "", DAY(2)), (7, "r", None, DAY(2)),
+    (8, "r", "Catalog.A", DAY(10)), (4, "q", "Catalog.A", DAY(5)), (9, "r", "Catalog.A", None), (10, "r", "none", None), (11, None, "Catalog.A", DAY(5)), (12, "r", "B.B", DAY(4)), (13, "r", "B.B", DAY(7)), (14, "r", "C", DAY(9)),
+]
+LIFE = [("r", "Справочник.A", DAY(2), DAY(9)), ("r", "Catalog.A", DAY(10), None), ("r", "B.B", DAY(1), DAY(5)), ("r", "B.B", DAY(3), DAY(6)), ("r", "B.B", DAY(9), DAY(8)), ("r", "C", None, None), (None, "Catalog.A", DAY(1), None)]
+NODES = [(1, "r", "П.А", None), (2, "r", "П.А.Б", "П.А"), (3, "q", "П.А.Б", "П.А"), (4, "r", "П.В.Г", "П.A"), (5, "r", "П.Д", ""), (6, None, "П", None), (7, None, "П.Е", "П"), (8, "r", None, "П.А")]
+ORPHANS = [("membership", 2, "late"), ("membership", 3, "deleted"), ("membership", 4, "missing"), ("membership", 10, "missing"), ("membership", 13, "deleted"), ("membership", 14, "late"), ("subsystem", 3, "missing"), ("subsystem", 4, "missing")]
+
+
+@pytest.mark.parametrize("most_bytes, most_rows", [(bloom.MOST_BYTES, 1000), (0, 1000), (bloom.MOST_BYTES, 0)])
+def test_p5(spark, most_bytes, most_rows):
+    given = references(spark, MEMBER, LIFE, NODES)
+    assert rows(orphans.orphans(*given, most_bytes, most_rows).drop("seen_at")) == sorted(ORPHANS, key=repr)
+
+
+def test_p5_edges(spark):
+    given = references(spark, MEMBER, LIFE, NODES)
+    assert ("subsystem", "2025-01", "missing", 2) in rows(orphans.counts(*given)) and ("membership", None, "missing", 1) in rows(orphans.counts(*given))
+    empty = references(spark, [], [], [])
+    assert orphans.found(*empty).count() == 0
+    assert {r[2] for r in rows(orphans.found(given[0], empty[1], empty[2], empty[3]))} == {"missing"}
+
+
+def test_bloom(spark):
+    keys = spark.range(50_000).select(F.xxhash64("id").alias("h"))
+    for bits in (bloom.SEGMENT_BITS, 1 << 12):
+        held = bloom.build(keys, segment_bits=bits)
+        assert held.segments == max(1, (1 << 20) // bits)
+        inside = np.array([r.h for r in keys.collect()])
+        assert held.may_hold(inside).all()
+        others = np.array([r.h for r in spark.range(50_000, 150_000).select(F.xxhash64("id").alias("h")).collect()])
+        assert held.may_hold(others).mean() < 0.01
+    assert bloom.build(keys, most_bytes=10) is None
+    assert not bloom.build(keys.limit(0)).may_hold(inside).any()
+
+
+@pytest.mark.parametrize("most", [1000, 0])
+def test_lookup_join(spark, most):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "a")], "id long, k string")
+    right = spark.createDataFrame([("a", 5), ("a", 6), (None, 7)], "k string, v long")
+    assert rows(lookup_join(left, right, ["k"], "inner", "id", most=most)) == [(1, "a", 5), (1, "a", 6), (3, None, 7), (4, "a", 5), (4, "a", 6)]
+    assert rows(lookup_join(left, right, ["k"], "left_anti", "id", most=most)) == [(2, "b")]
+    assert rows(lookup_join(left, right, ["k"], "left", "id", F.col("v") > 5, most=most)) == [(1, "a", 6), (2, "b", None), (3, None, 7), (4, "a", 6)]
