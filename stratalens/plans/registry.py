@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stratalens.operators import forms, orphans, search, snapshots
+from stratalens.operators import forms, orphans, snapshots
+from stratalens.plans import reference
 from stratalens.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,18 +57,10 @@ def p5_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans.counts(*_references(spark, sf_dir))
 
 
-#: What the flagship looks for.
-WORDS = "регистр document проведение"
-
-
-def search_smart_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best documents for a query."""
-    return search.ranked(table(spark, sf_dir, "documents"), WORDS)
-
-
 def queries() -> dict[str, Query]:
     """Every query of the core."""
-    return {"p2_found": p2_found, "p2_changes": p2_changes, "p4_found": p4_found, "p4_forms": p4_forms, "p4_elements": p4_elements, "p4_commands": p4_commands, "p5_found": p5_found, "p5_counts": p5_counts, "search_smart_topk": search_smart_topk}
+    own = (p2_found, p2_changes, p4_found, p4_forms, p4_elements, p4_commands, p5_found, p5_counts)
+    return {q.__name__: q for q in own} | reference.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
@@ -77,10 +70,9 @@ def oracle_sql() -> dict[str, str]:
         "p2_changes": snapshots.diff_sql(),
         "p5_found": orphans.orphans_sql(orphans.FOUND_SQL),
         "p5_counts": orphans.orphans_sql(orphans.COUNTS_SQL),
-        "search_smart_topk": search.ranked_sql(WORDS),
-    }
+    } | reference.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The query behind ``entry``."""
-    return search_smart_topk(spark, sf_dir)
+    """The query behind ``entry``: ranked search over the corpus."""
+    return reference.search_smart_topk(spark, sf_dir)
