@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -18,18 +18,18 @@ _STEPS = {"day": "interval 1 day", "week": "interval 7 days", "month": "interval
 
 @dataclass(frozen=True)
 class Accumulation:
-    """A register of movements: when, by what, how much, and whether it is an expense."""
+    """A register of movements: when, by what, how much, and the SQL condition of an expense (never null)."""
 
     period: str
     dimensions: tuple[str, ...]
     resource: str
-    expense: Column
+    expense: str
 
     def signed(self, df: DataFrame) -> DataFrame:
         """Movements as exact numbers, receipts and expenses apart. Rows without period or resource don't move anything."""
-        amount = F.col(self.resource).cast("decimal(18,4)")
+        amount, expense = F.col(self.resource).cast("decimal(18,4)"), F.expr(self.expense)
         own = df.where(F.col(self.period).isNotNull() & amount.isNotNull())
-        return own.select(*self.dimensions, F.col(self.period).alias("period"), F.when(~self.expense, amount).otherwise(0).alias("receipt"), F.when(self.expense, amount).otherwise(0).alias("expense"))
+        return own.select(*self.dimensions, F.col(self.period).alias("period"), F.when(~expense, amount).otherwise(0).alias("receipt"), F.when(expense, amount).otherwise(0).alias("expense"))
 
 
 def balance(df: DataFrame, register: Accumulation, at: str) -> DataFrame:

@@ -365,7 +365,7 @@ def orphan_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Objects to look for: by whole name, and by short name with a type.
-WHOLE, SHORT, TYPE = "справочник.отчеттоваров", "НоменклатураКлиента", "Document"
+WHOLE, SHORT, TYPE = "справочник.журналлимитовxml", "ЖурналЛимитовXML", "Catalog"
 _HITS_SQL = """
     , h as (select *, lower(object) = '{q}' as whole, ({typed}) as typed from ref where lower(object) = '{q}' or lower(split_part(object, '.', -1)) = '{q}'),
     w as (select *, bool_or(whole) over (partition by repo) as any_whole, bool_or(not whole and typed) over (partition by repo) as any_typed from h),
@@ -430,10 +430,10 @@ def ambiguous_short_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subsystems.ambiguous_names(table(spark, sf_dir, "subsystem"))
 
 
-@query("select distinct repo, path from subsystem where split_part(path, '.', -1) = 'Лояльность'")
+@query("select distinct repo, path from subsystem where split_part(path, '.', -1) = 'НаймСевер'")
 def resolve_subsystem(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All nodes that a short name can mean."""
-    return subsystems.resolve(table(spark, sf_dir, "subsystem"), "Лояльность")
+    return subsystems.resolve(table(spark, sf_dir, "subsystem"), "НаймСевер")
 
 
 @query(f"with n as (select distinct repo, path, parent_path from ({_NODES})) select n.repo, n.path, len(string_split(n.path, '.'))::int - 2 as depth, (p.path is not null)::int as parents from n left join (select distinct repo, path from n) p on p.repo = n.repo and p.path = n.parent_path")
@@ -636,8 +636,8 @@ def query_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(t, sqlfront.validate(spark, t)[0]) for t in texts], "query string, valid boolean")
 
 
-STOCK = registers.Accumulation("l_shipdate", ("l_partkey", "l_suppkey"), "l_quantity", F.expr("l_returnflag <=> 'R'"))
-BY_PART = registers.Accumulation("l_shipdate", ("l_partkey",), "l_quantity", F.expr("l_returnflag <=> 'R'"))
+STOCK = registers.Accumulation("l_shipdate", ("l_partkey", "l_suppkey"), "l_quantity", "l_returnflag <=> 'R'")
+BY_PART = registers.Accumulation("l_shipdate", ("l_partkey",), "l_quantity", "l_returnflag <=> 'R'")
 _AT, _FROM, _TO = "1998-06-30 00:00:00", "1997-01-01 00:00:00", "1997-12-31 23:59:59"
 _MOVES = """with m as (select l_partkey, l_suppkey, l_shipdate as period, case when l_returnflag = 'R' then 0 else l_quantity end::decimal(18,4) as receipt,
     case when l_returnflag = 'R' then l_quantity else 0 end::decimal(18,4) as expense from lineitem where l_shipdate is not null and l_quantity is not null)"""

@@ -84,7 +84,7 @@ def translate(text: str, tables: dict[str, str] | None = None, values: dict[str,
             if len(limits) > 1 and (limit := limits.pop()):
                 out.append(f" limit {limit}")
             out.append(found)
-        elif kind != "word" or out and out[-1] == ".":
+        elif kind != "word" or out and (out[-1] == "." or next((o for o in reversed(out) if o.strip()), "") == "as"):
             out.append(_name(found) if kind == "word" else found)
         else:
             dotted, j = [found], i + 1

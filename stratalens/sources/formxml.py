@@ -227,7 +227,7 @@ def form_files(spark, root: str, object_type: str, object_name: str) -> DataFram
     if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
         return spark.createDataFrame([], "path string, form_name string, content binary")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "Form.xml").load(folder)
-    return files.withColumn("path", F.url_decode("path")).select("path", form_path(F.col("path"))["form_name"].alias("form_name"), "content").where("form_name is not null")
+    return files.select("path", form_path(F.col("path"))["form_name"].alias("form_name"), "content").where("form_name is not null")
 
 
 COLLECTIONS = ("elements", "handlers", "commands", "dynamic_lists")

@@ -57,7 +57,7 @@ def _relative(spark: SparkSession, root: str, glob: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     # behind the root, whatever scheme the reader puts before it
     tail = root.split("://")[-1].rstrip("/") + "/"
-    return files.select(F.substring_index(F.url_decode("path"), tail, -1).alias("path"), "length", "content")
+    return files.select(F.substring_index(F.col("path"), tail, -1).alias("path"), "length", "content")
 
 
 def forest(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:

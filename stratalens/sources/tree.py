@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import errno
 import json
 import os
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,9 +37,23 @@ def failure_is_of_the_file(error: BaseException) -> bool:
 
 
 def _paths(spark: SparkSession, root: str) -> DataFrame:
+    """(path, modificationTime, length, content, rel_path) of all module files, empty ones too.
+
+    Spark's reader leaves out files of no bytes; they come from its own listing,
+    which the driver holds in any case.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _BSL).load(root)
+    plain = lambda p: F.regexp_replace(p, "^([a-z0-9]+):/+", "$1:/")
+    listed = spark.createDataFrame([(unquote(p),) for p in files.inputFiles()], "listed string")
+    fs, path = _file_system(spark, root)
+    empty = []
+    for row in listed.join(files.select("path"), plain(F.col("listed")) == plain(F.col("path")), "left_anti").toLocalIterator():
+        status = fs.getFileStatus(path(row.listed))
+        empty.append((row.listed, dt.datetime.fromtimestamp(status.getModificationTime() / 1000, dt.UTC), 0, b""))
+    if empty:
+        files = files.unionByName(spark.createDataFrame(empty, files.schema))
     tail = root.split("://")[-1].rstrip("/") + "/"
-    return files.withColumn("rel_path", F.substring_index(F.url_decode("path"), tail, -1))
+    return files.withColumn("rel_path", F.substring_index(F.col("path"), tail, -1))
 
 
 def _escaping(root: str) -> list[str]:

@@ -17,7 +17,7 @@ def module_stream(spark: SparkSession, root: str, files_a_batch: int = 1000) ->
     raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.[bB][sS][lL]").option("maxFilesPerTrigger", files_a_batch)
     files = raw.schema("path string, modificationTime timestamp, length bigint, content binary").load(root)
     tail = root.split("://")[-1].rstrip("/") + "/"
-    own = files.select(F.substring_index(F.url_decode("path"), tail, -1).alias("rel_path"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"), F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("content"))
+    own = files.select(F.substring_index(F.col("path"), tail, -1).alias("rel_path"), F.unix_millis("modificationTime").alias("mtime_ms"), F.col("length").alias("size"), F.regexp_replace(F.decode("content", "UTF-8"), "^﻿", "").alias("content"))
     own = own.withColumn("doc_id", keys.module_key(F.col("rel_path"))).withColumn("__s", keys.slots(F.col("doc_id")))
     return own.select("rel_path", "mtime_ms", "size", "content", "doc_id", *[F.col(f"__s.{p}").alias(p) for p in modules.PARTS])
 
@@ -60,16 +60,23 @@ def event_stream(spark: SparkSession, folder: str, schema, files_a_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
 
 
-def windowed(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Events of each window and type; those that come later than ``late`` behind the latest are left out."""
+def _watermarked(events: DataFrame, late: str | None) -> DataFrame:
+    return events.withWatermark("ts", late) if late else events
+
+
+def windowed(events: DataFrame, length: str = "1 hour", slide: str | None = None, late: str | None = "1 hour") -> DataFrame:
+    """Events of each window and type; those that come later than ``late`` behind the latest are left out.
+
+    ``late`` is None where the events have their watermark already.
+    """
     window = F.window("ts", length, slide) if slide else F.window("ts", length)
-    out = events.withWatermark("ts", late).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("value"))
+    out = _watermarked(events, late).groupBy(window.alias("w"), "event_type").agg(F.count("*").alias("events"), F.sum("value").alias("value"))
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "event_type", "events", "value")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "1 hour") -> DataFrame:
     """Sessions of users."""
-    out = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events"))
+    out = _watermarked(events, late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("events"))
     return out.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
 
