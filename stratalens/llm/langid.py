@@ -114,6 +114,15 @@ def _restore(text: str, points: np.ndarray, blanked: np.ndarray, row: np.ndarray
         blanked[begin:end] = np.frombuffer(_NOT_PROSE.sub(_blank_out_code, text[begin:end]).encode("utf-32-le"), np.uint32)
 
 
+def _composed(texts: pa.Array) -> pa.Array:
+    """Composed characters; Arrow's own utf8_normalize takes letters and marks apart. Texts without marks are left alone."""
+    marked = pc.match_substring_regex(texts, "[\\x{0300}-\\x{036F}]")
+    if not pc.any(marked).as_py():
+        return texts
+    whole = [unicodedata.normalize("NFC", t) for t in texts.filter(marked).to_pylist()]
+    return pc.replace_with_mask(texts, marked, pa.array(whole, texts.type))
+
+
 @dataclass
 class Prose:
     """Words of a string array, in order, and where paragraphs and rows end."""
@@ -127,7 +136,7 @@ class Prose:
 def prose(texts: pa.Array) -> Prose:
     """Paragraphs and scorable words."""
     flags, lower = _flags()
-    texts = pc.utf8_normalize(texts.fill_null("") if texts.null_count else texts, form="NFC")
+    texts = _composed(texts.fill_null("") if texts.null_count else texts)
     texts = pc.binary_join_element_wise(texts, "\n", "")  # rows end their lines, so that nothing joins two of them
     data, offsets = raw_bytes(texts)
     points, at = code_points(data) if len(data) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
@@ -216,7 +225,7 @@ def _grams(words: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     hashes, plain = [], np.zeros(len(symbols), np.uint64)
     for k in range(ORDER):
         shifted = np.zeros(len(symbols), np.uint64)
-        shifted[k:] = symbols[: len(symbols) - k] if k else symbols
+        shifted[k:] = symbols[: max(len(symbols) - k, 0)]
         plain = plain + (shifted + np.uint64(1)) * _MULTIPLIERS[k]
         x = (plain ^ (plain >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         hashes.append(x ^ (x >> np.uint64(29)))

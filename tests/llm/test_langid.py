@@ -44,3 +44,13 @@ def test_rejection_reaches_documents_and_is_calibrated(spark):
     assert got["lang"].tolist() == [-1, -1, langid.LANGUAGES.index("ru"), -1]
     rows = langid.identify(df.unionByName(spark.createDataFrame([(-1, texts[1])], "doc_id long, text string"), allowMissingColumns=True), ["doc_id"]).where("doc_id = -1").collect()
     assert [(r.segment_no, r.lang) for r in rows] == [(0, None)]
+
+
+def test_short_and_apart_texts():
+    plain = langid.fit([])
+    for text in ("x", "я", "e", "", "ab", "\n\n", "1", None):
+        plain.segments(langid.pa.array([text], langid.pa.string()))
+    apart = langid.pa.array(["чай", unicodedata.normalize("NFD", "чай ёж"), "é"])
+    assert langid._composed(apart).to_pylist() == ["чай", "чай ёж", "é"]
+    assert langid.prose(apart).letters.tolist() == [3, 3, 2, 1]
+    assert langid.prose(apart.slice(1)).words.to_pylist()[0].decode() == "чай"
