@@ -109,14 +109,19 @@ def _shard_quotas(group: pd.DataFrame) -> pd.DataFrame:
 
 @dataclass
 class Mix:
-    """The chosen documents, and the sources with their shares."""
+    """The chosen documents (doc_id, source, n_tokens, uses), with what they were chosen from."""
 
     documents: DataFrame
-    shares: DataFrame
+    per_source: DataFrame
+    goals: DataFrame
+
+    def shares(self) -> DataFrame:
+        """Target and actual share of each source; the few sums are written once."""
+        return _shares(self.documents, self.per_source, self.goals)
 
 
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 7, vocabulary: str = DEFAULT_VOCABULARY, shard_rows: int = SHARD_ROWS, block_tokens: int = BLOCK_TOKENS) -> Mix:
-    """``documents`` (doc_id, source, n_tokens, uses) and the report of shares."""
+    """The mix of ``documents`` (doc_id, source, text) for ``targets`` (source, weight, max_repeats)."""
     sized = materialize(count_tokens(documents, ["doc_id", "source"], "text", vocabulary), "token_sizes")
     return mix_sized(sized, targets, total_tokens, seed, shard_rows, block_tokens)
 
@@ -145,12 +150,13 @@ def mix_sized(sized: DataFrame, targets: DataFrame, total_tokens: int | None = N
     turn = F.pmod(own - first, F.col("blocks"))
     uses = F.expr("quota div blocks") + (turn < F.col("quota") % F.col("blocks")).cast("int")
     chosen = placed.select("doc_id", "source", "n_tokens", uses.cast("int").alias("uses")).where("uses > 0")
-    return Mix(chosen, _shares(chosen, per_source, goals))
+    return Mix(chosen, per_source, goals)
 
 
 def _shares(chosen: DataFrame, per_source: DataFrame, goals: DataFrame) -> DataFrame:
     taken = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mixed_tokens"), F.count("*").alias("documents_used"), F.max("uses").alias("most_uses"))
-    whole = chosen.agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("whole"))
+    taken = materialize(taken, "taken")
+    whole = taken.agg(F.sum("mixed_tokens").alias("whole"))
     return (
         goals.drop("quota", "shards")
         .join(per_source.drop("rows"), "source", "full")

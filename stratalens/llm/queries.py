@@ -60,7 +60,7 @@ def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and actual share of each source in the mix."""
-    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target")).shares
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_target")).shares()
 
 
 def p8_segments(spark: SparkSession, sf_dir: str) -> DataFrame:

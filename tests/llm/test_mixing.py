@@ -67,14 +67,14 @@ def test_shares_and_repeats(spark):
     df = sized(spark, [("a", 6000, "50 + id % 100"), ("b", 500, "50 + id % 100"), ("c", 3000, "20 + id % 400"), ("none", 100, "10")])
     target = spark.createDataFrame([("a", 0.5, 1), ("b", 0.2, 4), ("c", 0.3, 2), ("missing", 0.1, 1), ("a", 0.5, 1)], TARGET)
     got = mixing.mix_sized(df, target, shard_rows=700)
-    shares = {r.source: r for r in got.shares.collect()}
+    shares = {r.source: r for r in got.shares().collect()}
     assert all(abs(shares[s].actual_share - w) < 0.005 for s, w in (("a", 0.5), ("b", 0.2), ("c", 0.3)))
     assert shares["none"].mixed_tokens == 0 and shares["missing"].target_share == 0 and [shares[s].most_uses <= m for s, m in (("a", 1), ("b", 4), ("c", 2))] == [True] * 3
     assert shares["b"].mixed_tokens == 4 * shares["b"].available_tokens  # the scarce source is used up
     rows = sorted(tuple(r) for r in got.documents.collect())
     assert rows == sorted(tuple(r) for r in mixing.mix_sized(df.repartition(5), target, shard_rows=700).documents.collect())
     assert rows != sorted(tuple(r) for r in mixing.mix_sized(df, target, seed=8, shard_rows=700).documents.collect())
-    part = mixing.mix_sized(df, target, total_tokens=100_000, shard_rows=700).shares.collect()
+    part = mixing.mix_sized(df, target, total_tokens=100_000, shard_rows=700).shares().collect()
     assert abs(sum(r.mixed_tokens for r in part) - 100_000) < 3000
 
 
@@ -86,4 +86,4 @@ def test_edges(spark):
     null = spark.createDataFrame([(1, None, 5), (2, "a", 0), (3, "a", None)], "doc_id long, source string, n_tokens long")
     assert mixing.mix_sized(null, target).documents.count() == 0
     huge = spark.createDataFrame([(1, "a", 10**9)] + [(n, "a", 1) for n in range(2, 50)], "doc_id long, source string, n_tokens long")
-    assert mixing.mix_sized(huge, target, total_tokens=10**9).shares.first().mixed_tokens >= 10**9
+    assert mixing.mix_sized(huge, target, total_tokens=10**9).shares().first().mixed_tokens >= 10**9
