@@ -72,39 +72,72 @@ def _words(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def consistent(text: str, known: Scripts) -> Form:
-    """The form by which texts that look the same meet."""
-    if text.isascii():
-        return Form(text)
-    unseen, level = _levels()
-    chars = list(unicodedata.normalize("NFD", unseen.sub("", text).translate(level)))
+#: Parts of texts whose words are remembered.
+_KEPT = 100_000
+
+
+def _part(part: str, known: Scripts) -> tuple[list[tuple[int, int, int, int]], dict[int, int], int, int]:
+    """Of a part without dots: its words with actual and resolved scripts, how many are of one script each, how many are mixed and whole-script."""
     every = (1 << len(known.names)) - 1
-    words, votes = [], {}
-    for a, b in _words("".join(chars)):
+    words, votes, mixed, whole = [], {}, 0, 0
+    for a, b in _words(part):
         actual = resolved = every
-        for c in chars[a:b]:
+        for c in part[a:b]:
             own = known.mask(c) or every
             actual &= own
             look = known.look.get(c)
             resolved &= own if look is None else sum(1 << s for s in known.members[look])
         words.append((a, b, actual, resolved))
+        mixed += not actual
+        whole += bool(resolved & (resolved - 1)) and resolved != every
         if resolved and resolved & (resolved - 1) == 0:
             votes[resolved] = votes.get(resolved, 0) + 1
-    around = max(votes, key=lambda s: (votes[s], -s)) if votes else 0
-    form = Form("")
-    for a, b, actual, resolved in words:
+    return words, votes, mixed, whole
+
+
+def _spelled(part: str, words: list[tuple[int, int, int, int]], around: int, known: Scripts) -> str:
+    """The part with each word in its script."""
+    chars = list(part)
+    for a, b, _, resolved in words:
         # the lowest bit is the script that is preferred; abbreviations take it wherever they stand
         short = b - a > 1 and all(c.isupper() for c in chars[a:b])
         chosen = (0 if short else resolved & around) or resolved & -resolved
         bit = chosen.bit_length() - 1
-        form.mixed += not actual
-        form.whole += bool(resolved & (resolved - 1)) and resolved != every
         for i in range(a, b):
             look = known.look.get(chars[i])
             if look is not None:
                 members = known.members[look]
                 chars[i] = members[bit] if bit in members else members[min(members)]
-    form.text = unicodedata.normalize("NFC", "".join(chars))
+    return "".join(chars)
+
+
+def consistent(text: str, known: Scripts) -> Form:
+    """The form by which texts that look the same meet."""
+    if text.isascii():
+        return Form(text)
+    unseen, level = _levels()
+    parts = unicodedata.normalize("NFD", unseen.sub("", text).translate(level)).split(".")
+    if len(known.parts) > _KEPT:
+        known.parts.clear()
+        known.spelled.clear()
+    found, votes, form = [], {}, Form("")
+    for part in parts:
+        own = known.parts.get(part)
+        if own is None:
+            own = known.parts[part] = _part(part, known)
+        found.append(own)
+        for script, n in own[1].items():
+            votes[script] = votes.get(script, 0) + n
+        form.mixed += own[2]
+        form.whole += own[3]
+    around = max(votes, key=lambda s: (votes[s], -s)) if votes else 0
+    out = []
+    for part, own in zip(parts, found):
+        spelled = known.spelled.get((part, around))
+        if spelled is None:
+            spelled = known.spelled[part, around] = _spelled(part, own[0], around, known)
+        out.append(spelled)
+    form.text = unicodedata.normalize("NFC", ".".join(out))
     return form
 
 

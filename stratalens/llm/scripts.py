@@ -33,6 +33,15 @@ class Scripts:
     look: dict[str, int]  # letter to class
     members: list[dict[int, str]]  # of a class: the letter of each script, by bit number
     _known: dict[str, int] = field(default_factory=dict)
+    #: What readers remember of parts of texts; not sent to executors.
+    parts: dict = field(default_factory=dict)
+    spelled: dict = field(default_factory=dict)
+
+    def __getstate__(self):
+        return {"names": self.names, "begins": self.begins, "masks": self.masks, "look": self.look, "members": self.members}
+
+    def __setstate__(self, state):
+        self.__init__(**state)
 
     def mask(self, char: str) -> int:
         """The bits of a character's scripts; 0 where it goes with every script."""
