@@ -10,10 +10,8 @@ Case, accents and marks stay.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,22 +21,6 @@ from stratalens.llm.scripts import Scripts, scripts
 from stratalens.session import lookup_join, materialize
 
 
-@lru_cache(maxsize=1)
-def _levels() -> tuple[re.Pattern, dict[int, str]]:
-    """Characters nobody sees, and what those become that differ in width alone."""
-    unseen, level = [], {0x2010: "-", 0x2011: "-"}
-    for c in range(0x110000):
-        char = chr(c)
-        kind = unicodedata.category(char)
-        if kind == "Cf" or c in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0) or 0xFE00 <= c <= 0xFE0F or 0xE0100 <= c <= 0xE01EF or 0x180B <= c <= 0x180F:
-            unseen.append(char)
-        elif kind == "Zs":
-            level[c] = " "
-        elif 0xFB00 <= c <= 0xFB06 or unicodedata.decomposition(char).startswith(("<wide>", "<narrow>")):
-            level[c] = unicodedata.normalize("NFKD", char)
-    return re.compile("[" + re.escape("".join(unseen)) + "]"), level
-
-
 @dataclass
 class Form:
     """The consistent form of a text, and its words that needed a choice."""
@@ -115,8 +97,7 @@ def consistent(text: str, known: Scripts) -> Form:
     """The form by which texts that look the same meet."""
     if text.isascii():
         return Form(text)
-    unseen, level = _levels()
-    parts = unicodedata.normalize("NFD", unseen.sub("", text).translate(level)).split(".")
+    parts = unicodedata.normalize("NFD", text.translate(known.level)).split(".")
     if len(known.parts) > _KEPT:
         known.parts.clear()
         known.spelled.clear()

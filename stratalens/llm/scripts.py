@@ -32,13 +32,14 @@ class Scripts:
     masks: list[int]  # of the range that begins there; 0 is every script
     look: dict[str, int]  # letter to class
     members: list[dict[int, str]]  # of a class: the letter of each script, by bit number
+    level: dict[int, str]  # characters nobody sees become nothing, those that differ in width alone another
     _known: dict[str, int] = field(default_factory=dict)
     #: What readers remember of parts of texts; not sent to executors.
     parts: dict = field(default_factory=dict)
     spelled: dict = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"names": self.names, "begins": self.begins, "masks": self.masks, "look": self.look, "members": self.members}
+        return {"names": self.names, "begins": self.begins, "masks": self.masks, "look": self.look, "members": self.members, "level": self.level}
 
     def __setstate__(self, state):
         self.__init__(**state)
@@ -67,6 +68,24 @@ def _ranges(pattern: str) -> list[tuple[int, int]]:
     return out
 
 
+# Marks and fillers that show nothing, beside all format characters.
+_UNSEEN = (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x1810), *range(0xFE00, 0xFE10), *range(0xE0100, 0xE01F0))
+
+
+def _levels() -> dict[int, str]:
+    """Characters nobody sees, blanks, hyphens that don't break, widths and ligatures."""
+    level = {0x2010: "-", 0x2011: "-"} | dict.fromkeys(_UNSEEN, "")
+    for c in range(0x110000):
+        kind = unicodedata.category(chr(c))
+        if kind == "Cf":
+            level[c] = ""
+        elif kind == "Zs":
+            level[c] = " "
+        elif 0xFB00 <= c <= 0xFB06 or c > 0x2FFF and unicodedata.decomposition(chr(c)).startswith(("<wide>", "<narrow>")):
+            level.setdefault(c, unicodedata.normalize("NFKD", chr(c)))
+    return level
+
+
 def _base_letters() -> list[str]:
     """Letters that are no composed or compatibility forms."""
     return [c for n in range(0x110000) if not 0xD800 <= n < 0xE000 and unicodedata.category(c := chr(n)) in ("Lu", "Ll", "Lo") and not unicodedata.decomposition(c)]
@@ -115,7 +134,7 @@ def scripts(spark: SparkSession) -> Scripts:
         held ^= bounds[at]
         begins.append(at)
         masks.append(held)
-    made = Scripts(kept, begins, masks, {}, [])
+    made = Scripts(kept, begins, masks, {}, [], _levels())
     letters = _base_letters()
     for c in letters:
         m = made.mask(c)
