@@ -29,6 +29,8 @@ _RECORDS = {"form": FORM, "element": ELEMENT, "event": EVENT, "command": COMMAND
 _COLLECTIONS = ((FORM, "elements", ELEMENT), (ELEMENT, "childItems", ELEMENT), (ELEMENT, "events", EVENT), (FORM, "handlers", EVENT), (FORM, "commands", COMMAND), (FORM, "dynamicLists", DYNAMIC_LIST))
 
 _TEXTS = ("name", "title", "type", "dataPath", "event", "handler", "action", "mainTable", "manualQuery")
+#: The texts that a record has.
+_OF = {"form": ("name", "title"), "element": ("name", "title", "type", "dataPath"), "event": ("event", "handler"), "command": ("name", "title", "action"), "dynamic_list": ("name", "title", "mainTable", "manualQuery")}
 _SCHEMA = pa.schema(
     [("form_id", pa.int64()), ("record", pa.string()), ("element_path", pa.string()), ("parent_path", pa.string()), ("position", pa.int32()), ("depth", pa.int32())]
     + [(k, pa.string()) for k in ("name", "title", "type", "data_path", "event_name", "handler", "action", "main_table", "manual_query")]
@@ -97,19 +99,22 @@ def _rows(nodes: jsonindex.Nodes, records: Iterable[str]) -> Iterator[tuple]:
         up = int(owner[i])
         path[i] = "" if up < 0 else f"{path[up]}.{position[i]}" if path[up] else str(position[i])
         above[i], depth[i] = path[up], 0 if up < 0 else depth[up] + 1
+    flags = ("parseIncomplete", "noFormRoot") if "form" in records else ()
     child = {}
-    for k in (*_TEXTS, "parseIncomplete", "noFormRoot"):
+    for k in {k for r in records for k in _OF[r]}.union(flags):
         own = np.flatnonzero(chosen & (role == _ROLE[k]))
         child[k] = dict(zip(nodes.parent[own].tolist(), own.tolist()))
     value = lambda k, i: None if (at := child[k].get(i)) is None else nodes.value(at)
+    text = nodes.text.tolist()
     for record in records:
+        has = [k in _OF[record] for k in _TEXTS]
         for i in np.flatnonzero(state == _RECORDS[record]).tolist():
             mine = i if record in ("form", "element") else int(owner[i])
-            texts = [value(k, i) for k in _TEXTS]
+            texts = [value(k, i) if there else None for k, there in zip(_TEXTS, has)]
             if record == "event":
                 texts[4:6] = (x or "" for x in texts[4:6])
-            flags = [None if record != "form" or (x := value(k, i)) not in ("true", "false") else x == "true" for k in ("parseIncomplete", "noFormRoot")]
-            yield int(nodes.text[i]), record, path[mine], above[mine], 1 if record == "form" else int(position[i]), depth[mine], *texts, *flags
+            found = [None if record != "form" or (x := value(k, i)) not in ("true", "false") else x == "true" for k in flags] or [None, None]
+            yield text[i], record, path[mine], above[mine], 1 if record == "form" else int(position[i]), depth[mine], *texts, *found
 
 
 def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -137,10 +142,10 @@ def _reader(records: tuple[str, ...]):
             whole = np.frombuffer(payload.buffers()[2] or b"", np.uint8)
             for a, b in _slices(np.diff(offsets)):
                 data, starts = whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                marks = starts[:-1][[data[s : s + 3].tobytes() == b"\xef\xbb\xbf" for s in starts[:-1]]]
-                if len(marks):
+                marks = [s for s in starts[:-1][np.append(data, 0)[starts[:-1]] == 0xEF].tolist() if data[s : s + 3].tobytes() == b"\xef\xbb\xbf"]
+                if marks:
                     data = data.copy()
-                    data[(marks[:, None] + np.arange(3)).ravel()] = 0x20
+                    data[(np.array(marks)[:, None] + np.arange(3)).ravel()] = 0x20
                 for number, *row in _rows(jsonindex.index(data, starts), records):
                     waiting.append((form[a + number], *row))
                     if len(waiting) >= _ROWS:
