@@ -144,6 +144,11 @@ def shard(key: Column, count: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(count)).cast("int")
 
 
+def shard_count(files: int, cores: int) -> int:
+    """Shards for a number of files: one for 2000, at least one and at most one a core."""
+    return max(1, min(files // 2000, cores))
+
+
 #: A name that an extension may bear: letters, digits (not first), underscores, at most 128, nothing unseen.
 EXTENSION_NAME = r"^[\p{L}_][\p{L}\p{Nd}_]{0,127}$"
 _UNSEEN_LETTERS = "ᅟᅠㅤﾠ"

@@ -166,6 +166,12 @@ def newer_version(a: Column, b: Column) -> Column:
     return F.when(x > y, 1).when(x < y, -1).otherwise(0)
 
 
+def json_record(text: Column, schema: str) -> Column:
+    """(value, mismatch) of JSON text: its record by a schema, and the text itself where it doesn't fit."""
+    read = F.from_json(text, f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
+    return F.struct(read.dropFields("_corrupt_record").alias("value"), read["_corrupt_record"].alias("mismatch"))
+
+
 def escape_pipe(text: Column) -> Column:
     return F.replace(text, F.lit("|"), F.lit("\\|"))
 

@@ -83,9 +83,9 @@ def collapsed(df: DataFrame) -> DataFrame:
     The five are found by a top-k of the shared keys, not by collecting them all.
     """
     shared = df.groupBy("repo", "doc_id").agg(F.count("*").alias("n")).where("n > 1")
-    ranked = shared.withColumn("rank", F.row_number().over(W.partitionBy("repo").orderBy("doc_id")))
-    sample = F.array_sort(F.collect_list(F.when(F.col("rank") <= 5, F.col("doc_id"))))
-    return ranked.groupBy("repo").agg(F.sum(F.col("n") - 1).alias("lost"), F.count("*").alias("shared_keys"), F.array_join(sample, "|").alias("sample"))
+    totals = shared.groupBy("repo").agg(F.sum(F.col("n") - 1).alias("lost"), F.count("*").alias("shared_keys"))
+    first = shared.withColumn("rank", F.row_number().over(W.partitionBy("repo").orderBy("doc_id"))).where("rank <= 5")
+    return totals.join(first.groupBy("repo").agg(F.array_join(F.array_sort(F.collect_list("doc_id")), "|").alias("sample")), "repo")
 
 
 def wrapped(df: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stratalens.functions import catalog, text
 from stratalens.operators.modules import narrowed
+from stratalens.session import materialize
 
 K1, B = 1.2, 0.75
 DEFAULT_LIMIT, MOST_LIMIT = 50, 500
@@ -47,7 +48,7 @@ def line_hits(modules: DataFrame, match: Callable[[Column], Column], ids: list[s
         numbers = F.filter(F.transform(all_lines, lambda line, i: F.when(match(line), i + 1)), lambda n: n.isNotNull())
         return F.transform(numbers, lambda n: F.struct(n.alias("line_no"), F.get(all_lines, n - 1).alias("line"), text.context(all_lines, n).alias("context")))
 
-    return narrowed(modules, **within).where("content is not null").select(*ids, F.inline(_let(text.lines(F.col("content")), found))).dropDuplicates([*ids, "line_no"])
+    return narrowed(modules, **within).where("content is not null").select(*ids, F.inline(_let(text.lines(F.col("content")), found))).distinct()
 
 
 def first_lines(modules: DataFrame, match: Callable[[Column], Column], ids: list[str], limit: int | None = None, **within: str) -> DataFrame:
@@ -88,11 +89,12 @@ def scored(df: DataFrame, ids: list[str], content: str, query: str, synonyms: di
 
     Defined results: null texts are no documents; words repeated in the query
     count once; a query without words finds nothing; scores have six digits.
+    Texts are cut into words once: their counts are written, a few numbers a text.
     """
     wanted = terms(query, synonyms)
-    table = counted(df, ids, content, wanted, synonyms)
     if not wanted:
-        return table.where("false").select(*ids, F.lit(0.0).alias("score"))
+        return df.where("false").select(*ids, F.lit(0.0).alias("score"))
+    table = materialize(counted(df, ids, content, wanted, synonyms), "term_counts")
     names = [f"tf{i}" for i in range(len(wanted))]
     # one row with the statistics of the corpus
     stats = table.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in names])
@@ -160,10 +162,10 @@ def smart_hits(modules: DataFrame, query: str, ids: list[str], limit: int | None
 
 def smart_total(modules: DataFrame, query: str, ids: list[str], **within: str) -> DataFrame:
     """All modules with any of the terms: (total, unit)."""
-    wanted = terms(query, catalog.SYNONYMS)
-    table = counted(narrowed(modules, **within), ids, "content", wanted)
-    hits = table.where(" or ".join(f"tf{i} > 0" for i in range(len(wanted))) or "false")
-    return hits.agg(F.count("*").alias("total")).withColumn("unit", F.lit("modules"))
+    wanted = sorted({w for group in terms(query, catalog.SYNONYMS) for w in group})
+    words = text.words(F.col("content"))
+    hits = narrowed(modules, **within).where("content is not null").where(F.exists(words, _one_of(wanted)) if wanted else F.lit(False))
+    return hits.select(*ids).distinct().agg(F.count("*").alias("total")).withColumn("unit", F.lit("modules"))
 
 
 # --- the index as a table

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from stratalens.functions import catalog, text
+from stratalens.functions import catalog, keys, text
 from stratalens.operators import search
 
 MODULE = "file_id long, doc_id string, namespace string, category string, object_name string, module_type string, content string"
@@ -94,5 +94,8 @@ def test_scalars(spark):
     one = spark.createDataFrame([("1.10", "1.9", "a|b", "x`y``z\n", "https://u:p:q@host/a?b=1#c")], "a string, b string, c string, d string, e string")
     r = one.select(text.newer_version(F.col("a"), F.col("b")), text.newer_version(F.col("b"), F.lit("1.9.0")), text.escape_pipe(F.col("c")), text.inline_code(F.col("d")), text.url_without_credentials(F.col("e")), text.url_without_credentials(F.lit("http://h/x"))).first()
     assert tuple(r[:4]) == (1, 0, "a\\|b", "```x`y``z�```") and tuple(r[4]) == ("u", "p:q", "https://host/a") and tuple(r[5]) == (None, None, "http://h/x")
+    bad = spark.createDataFrame([('{"k": 1}',), ('{"k": "x"}',), ("{",), (None,)], "j string").select(text.json_record(F.col("j"), "k int").alias("r")).select("r.value.k", "r.mismatch").collect()
+    assert [tuple(r) for r in bad] == [(1, None), (None, '{"k": "x"}'), (None, "{"), (None, None)]
+    assert [keys.shard_count(n, 8) for n in (0, 4100, 10**9)] == [1, 2, 8]
     assert [text.clamp_limit(v, 50, 500) for v in (None, 0, -1, 7, 900)] == [50, 50, 50, 7, 500]
     assert re.findall(r"\w+", "a_b ё") == text.query_words("A_b Ё")
