@@ -180,7 +180,7 @@ def sql_keys(source: str) -> str:
             case when {p}[1] in ({', '.join(f"'{f}'" for f in kinds.PLAIN_FOLDERS)}) and {p}[-1] = 'Module.bsl' and not list_contains({p}, 'Forms') then 'Модуль'
                  else coalesce({m(kinds.MODULE_FILES)}[{p}[-1]], regexp_replace({p}[-1], '\\.bsl$', '')) end) end"""
     return f"""
-        select * exclude (wrap, parts), len(wrap) - len(replace(wrap, '/', '')) as wrap_depth,
+        select * exclude (wrap, parts), (len(wrap) - len(replace(wrap, '/', '')))::int as wrap_depth,
                {sql_composed(f"case when len(parts) < 2 then path when parts[1] = '{kinds.EXTENSIONS}' and len(parts) >= 4 then '{kinds.EXTENSION}.' || parts[2] || '.' || ({base('parts[3:]')}) else {base('parts')} end")} as key
         from (select *, string_split(substr(path, len(wrap) + 1), '/') as parts from (select *, regexp_extract(path, '{ROOTED}', 1) as wrap from ({source})))
     """

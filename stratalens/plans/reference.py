@@ -175,7 +175,7 @@ def postings_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     with held as (select distinct repo, doc_id, true as held from ({_MODULES})), entry as ({modules.ENTRIES_SQL})
-    select count(*) as entries, count_if(held is null) as unreadable from entry left join held using (repo, doc_id)""")
+    select count(*) as entries, count_if(held is null)::bigint as unreadable from entry left join held using (repo, doc_id)""")
 def hit_unreadable_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Index entries whose contents are not there."""
     return search.unreadable(_entries(spark, sf_dir), _modules(spark, sf_dir))
@@ -201,7 +201,7 @@ def key_derivation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paths(spark, sf_dir)
 
 
-@query(f"select count_if(wrap_depth > 0) as wrapped, count(*) as paths from ({keys.sql_keys(_PATHS_SQL)})")
+@query(f"select count_if(wrap_depth > 0)::bigint as wrapped, count(*) as paths from ({keys.sql_keys(_PATHS_SQL)})")
 def wrapped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths below further folders."""
     return modules.wrapped(_paths(spark, sf_dir))
@@ -491,7 +491,7 @@ _manifest_kind("modified", "Files with another time or size.")
 _manifest_kind("deleted", "Files that are gone.")
 
 
-@query(_ENDS_SQL + """, c as (select count_if(change = 'added') as added, count_if(change = 'modified') as modified, count_if(change = 'deleted') as deleted from diff)
+@query(_ENDS_SQL + """, c as (select count_if(change = 'added')::bigint as added, count_if(change = 'modified')::bigint as modified, count_if(change = 'deleted')::bigint as deleted from diff)
     select (select count(*) from old) as before, (select count(*) from new) as after, c.*, added + modified + deleted > 0 as changed, true as accepted from c""")
 def reload_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a reload from the first to the last snapshots does."""
@@ -563,6 +563,11 @@ _START, _END = "2024-01-03", "2024-01-10"
 _EVENTS = f"ts >= timestamp '{_START}' and ts < timestamp '2024-01-11'"
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """Exact sums as plain numbers."""
+    return df.select(*[F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in df.dtypes])
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events")
 
@@ -643,34 +648,34 @@ _MOVES = """with m as (select l_partkey, l_suppkey, l_shipdate as period, case w
     case when l_returnflag = 'R' then l_quantity else 0 end::decimal(18,4) as expense from lineitem where l_shipdate is not null and l_quantity is not null)"""
 
 
-@query(f"{_MOVES} select l_partkey, l_suppkey, sum(receipt - expense) as balance from m where period <= timestamp '{_AT}' group by all having sum(receipt - expense) != 0")
+@query(f"{_MOVES} select l_partkey, l_suppkey, sum(receipt - expense)::double as balance from m where period <= timestamp '{_AT}' group by all having sum(receipt - expense) != 0")
 def register_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stock of parts and suppliers at a moment."""
-    return registers.balance(table(spark, sf_dir, "lineitem"), STOCK, _AT)
+    return _plain(registers.balance(table(spark, sf_dir, "lineitem"), STOCK, _AT))
 
 
-@query(f"{_MOVES} select l_partkey, l_suppkey, date_trunc('month', period)::timestamp as period, sum(receipt) as receipt, sum(expense) as expense, sum(receipt - expense) as turnover from m where period between timestamp '{_FROM}' and timestamp '{_TO}' group by all")
+@query(f"{_MOVES} select l_partkey, l_suppkey, date_trunc('month', period)::timestamp as period, sum(receipt)::double as receipt, sum(expense)::double as expense, sum(receipt - expense)::double as turnover from m where period between timestamp '{_FROM}' and timestamp '{_TO}' group by all")
 def register_turnovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turnovers by month."""
-    return registers.turnovers(table(spark, sf_dir, "lineitem"), STOCK, _FROM, _TO)
+    return _plain(registers.turnovers(table(spark, sf_dir, "lineitem"), STOCK, _FROM, _TO))
 
 
 _BALANCES = f"""{_MOVES}, g as (select l_partkey, case when period >= timestamp '{_FROM}' then date_trunc('quarter', period)::timestamp end as period, sum(receipt) as receipt, sum(expense) as expense from m where period <= timestamp '{_TO}' group by all)"""
 _RUNNING = """, r as (select *, receipt - expense as turnover, sum(receipt - expense) over (partition by l_partkey order by period nulls first) as closing from {g})
-    select l_partkey, period, closing - turnover as opening, receipt, expense, turnover, closing from r where period is not null"""
+    select l_partkey, period, (closing - turnover)::double as opening, receipt::double as receipt, expense::double as expense, turnover::double as turnover, closing::double as closing from r where period is not null"""
 
 
 @query(_BALANCES + _RUNNING.format(g="g"))
 def register_balance_and_turnovers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Opening balances, turnovers and closing balances by quarter."""
-    return registers.balance_and_turnovers(table(spark, sf_dir, "lineitem"), BY_PART, _FROM, _TO, "quarter")
+    return _plain(registers.balance_and_turnovers(table(spark, sf_dir, "lineitem"), BY_PART, _FROM, _TO, "quarter"))
 
 
 @query(_BALANCES + """, f as (select l_partkey, period, sum(receipt) as receipt, sum(expense) as expense from (select * from g union all
     select l_partkey, unnest(generate_series(timestamp '1997-01-01', timestamp '1997-10-01', interval '3 months')), 0, 0 from (select distinct l_partkey from g)) group by all)""" + _RUNNING.format(g="f"))
 def register_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with quarters without movements."""
-    return registers.balance_and_turnovers(table(spark, sf_dir, "lineitem"), BY_PART, _FROM, _TO, "quarter", fill=True)
+    return _plain(registers.balance_and_turnovers(table(spark, sf_dir, "lineitem"), BY_PART, _FROM, _TO, "quarter", fill=True))
 
 
 @query("select user_id, ts, event_id, event_type, value from events where ts <= timestamp '2024-01-15' and ts is not null qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1")

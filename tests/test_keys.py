@@ -30,7 +30,7 @@ def test_wrapping_changes_no_key(spark):
     "key, parts",
     [
         ("Справочник.Н.МодульОбъекта", ("", "Справочник", "Н", "МодульОбъекта")), ("Документ.Д.Форма.Ф.МодульФормы", ("", "Документ", "Д", "МодульФормы")),
-        ("ext.Д.Справочник.Н.МодульОбъекта", ("ext", "Справочник", "Н", "МодульОбъекта")), ("ext.Р.MCP.id", ("ext", "ext", "Р", "id")), ("ext.Н.Форма.Ф.МодульФормы", ("ext", "ext", "Н", "МодульФормы")),
+        ("ext.Д.Справочник.Н.МодульОбъекта", ("ext", "Справочник", "Н", "МодульОбъекта")), ("ext.Р.Служба.id", ("ext", "ext", "Р", "id")), ("ext.Н.Форма.Ф.МодульФормы", ("ext", "ext", "Н", "МодульФормы")),
         ("а.б", ("", "а", "б", "")), ("один", ("", "", "один", "")), ("", ("", "", "", "")), ("ext", ("", "", "ext", "")),
     ],
 )
