@@ -194,3 +194,53 @@ def elements(form_info: DataFrame) -> DataFrame:
 def commands(form_info: DataFrame) -> DataFrame:
     """One row a command or dynamic list of a form."""
     return flatten(form_info, ("command", "dynamic_list")).select("form_id", "record", "position", "name", "title", "action", "main_table", "manual_query")
+
+
+# --- the same in DuckDB's SQL, value by value
+
+
+def _get(e: str, key: str) -> str:
+    """The value of a key, or of the key with a capital where it is missing or null."""
+    other = key[0].upper() + key[1:]
+    return f"case when coalesce(json_type({e}, '$.{key}'), 'NULL') != 'NULL' then json_extract({e}, '$.{key}') else json_extract({e}, '$.{other}') end"
+
+
+def _entries(e: str, key: str) -> str:
+    return f"case json_type({_get(e, key)}) when 'ARRAY' then json_extract({_get(e, key)}, '$[*]') when 'OBJECT' then [{_get(e, key)}] else [] end"
+
+
+def _text(e: str, key: str) -> str:
+    value = _get(e, key)
+    return f"case json_type({value}) when 'VARCHAR' then {value} ->> '$' when 'NULL' then null else ({value})::varchar end"
+
+
+def element_type(e: str) -> str:
+    """The type of an element."""
+    return _text(e, "type")
+
+
+def sql(last: str) -> str:
+    """A query over ``form`` (form_id, e), ``element`` (form_id, path, parent, pos, depth, e) and ``event`` (form_id, path, pos, e)."""
+    return f"""
+        with recursive latest as (select form_id, payload from form_info where form_id is not null qualify row_number() over (partition by form_id order by loaded_at desc nulls last, payload desc nulls last) = 1),
+        form as (select form_id, e from (select form_id, case when json_valid(ltrim(payload, chr(65279))) then ltrim(payload, chr(65279))::json end as e from latest) where json_type(e) = 'OBJECT'),
+        step(form_id, path, parent, pos, depth, e, l) as (
+            select form_id, '', null::varchar, 1, 0, e, {_entries("e", "elements")} from form
+            union all
+            select form_id, case when parent_path = '' then '' else parent_path || '.' end || i, parent_path, i::int, d + 1, x, {_entries("x", "childItems")}
+            from (select form_id, path as parent_path, depth as d, unnest(l) as x, generate_subscripts(l, 1) as i from step) where json_type(x) = 'OBJECT'),
+        element as (select * from step where depth > 0),
+        listed as (select form_id, path, case when depth = 0 then {_entries("e", "handlers")} else {_entries("e", "events")} end as l from step),
+        event as (select * from (select form_id, path, unnest(l) as e, generate_subscripts(l, 1)::int as pos from listed) where json_type(e) = 'OBJECT')
+        {last}
+    """
+
+
+FOUND_SQL = sql(f"select form_id, path as element_path, pos as event_pos, coalesce({_text('e', 'event')}, '') as event_name, coalesce({_text('e', 'handler')}, '') as handler from event")
+ELEMENTS_SQL = sql(f"select form_id, path as element_path, parent as parent_path, pos as position, depth, {_text('e', 'name')} as name, {_text('e', 'type')} as type, {_text('e', 'title')} as title, {_text('e', 'dataPath')} as data_path from element")
+FORMS_SQL = sql(f"select form_id, {_text('e', 'name')} as name, {_text('e', 'title')} as title, try_cast({_text('e', 'parseIncomplete')} as boolean) as parse_incomplete, try_cast({_text('e', 'noFormRoot')} as boolean) as no_form_root from form")
+_LISTED = " union all ".join(f"select form_id, '{record}' as record, unnest({_entries('e', key)}) as x, generate_subscripts({_entries('e', key)}, 1)::int as position from form" for record, key in (("command", "commands"), ("dynamic_list", "dynamicLists")))
+COMMANDS_SQL = sql(
+    f"select form_id, record, position, {_text('x', 'name')} as name, {_text('x', 'title')} as title, case when record = 'command' then {_text('x', 'action')} end as action, "
+    f"case when record != 'command' then {_text('x', 'mainTable')} end as main_table, case when record != 'command' then {_text('x', 'manualQuery')} end as manual_query from ({_LISTED}) where json_type(x) = 'OBJECT'"
+)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from stratalens.functions import catalog, keys, kinds, text
 from stratalens.operators import eventlog, forms, modules, registers, search, subsystems, upserts
-from stratalens.plans import sqlfront
+from stratalens.plans import render, sqlfront
 from stratalens.session import table
+from stratalens.sources.formxml import ELEMENTS, display_type
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -30,6 +31,8 @@ def query(sql: str | None = None):
     return kept
 
 
+DISPLAY = {tag: name for tag, name in ELEMENTS.items() if name}
+
 # --- search by lines
 
 WORD, REGEX, WORDS = "Возврат", r"(?i)процедура\s+\w*|\bReturn\b", "регистр document проведение"
@@ -548,11 +551,9 @@ def first_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.groupBy("repo", "object").agg(F.min("form_name").alias("form_name"), (F.count_distinct("form_name") - 1).alias("others"))
 
 
-@query()
+@query(forms.sql(f"select {forms.element_type('e')} as type, coalesce({kinds.sql_map(DISPLAY)}[{forms.element_type('e')}], {forms.element_type('e')}) as display, count(*) as elements from element group by all"))
 def form_display(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Elements of forms by what their type is called."""
-    from stratalens.sources.formxml import display_type
-
     return forms.elements(table(spark, sf_dir, "form_info")).groupBy("type", display_type(F.col("type")).alias("display")).agg(F.count("*").alias("elements"))
 
 
@@ -702,9 +703,7 @@ def slice_last_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select event_id, case when value is null then '' when value = floor(value) then value::bigint::varchar else value::varchar end as cell, coalesce(event_type, '') as kind, try_cast(json_extract(props, '$.k') as int) as k from events")
 def render_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values as a table shows them, and a field of their JSON."""
-    from stratalens.plans.render import cell
-
-    return _events(spark, sf_dir).select("event_id", cell(F.col("value")).alias("cell"), F.coalesce("event_type", F.lit("")).alias("kind"), F.get_json_object("props", "$.k").cast("int").alias("k"))
+    return _events(spark, sf_dir).select("event_id", render.cell(F.col("value")).alias("cell"), F.coalesce("event_type", F.lit("")).alias("kind"), F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
 @query("select distinct repo, gen, sha256(concat_ws('/', repo, gen))[1:16] as path_hash, to_base64(repo::blob) as encoded from manifest")

@@ -68,6 +68,10 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"select repo, gen, rel_path, diff_kind from ({snapshots.diff_sql()})",
         "p2_changes": snapshots.diff_sql(),
+        "p4_found": forms.FOUND_SQL,
+        "p4_forms": forms.FORMS_SQL,
+        "p4_elements": forms.ELEMENTS_SQL,
+        "p4_commands": forms.COMMANDS_SQL,
         "p5_found": orphans.orphans_sql(orphans.FOUND_SQL),
         "p5_counts": orphans.orphans_sql(orphans.COUNTS_SQL),
     } | reference.SQL
