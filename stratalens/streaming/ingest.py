@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stratalens.functions import keys
 from stratalens.operators import modules, upserts
+from stratalens.session import lookup_join
 
 
 def module_stream(spark: SparkSession, root: str, files_a_batch: int = 1000) -> DataFrame:
@@ -23,36 +24,61 @@ def module_stream(spark: SparkSession, root: str, files_a_batch: int = 1000) ->
 
 
 def upsert_into(stream: DataFrame, table: str, checkpoint: str, key: list[str]) -> StreamingQuery:
-    """Keep a folder of versions current: each batch writes the next version, of its rows in the place of those with their keys.
+    """Add each batch to a folder of versions; a batch writes its own rows alone, however large the table is.
 
-    A batch that is run again after a failure writes the same version again.
+    Of equal keys in a batch the latest file counts. A batch that is run again
+    after a failure writes the same version again.
     """
-    spark = stream.sparkSession
 
     def write(batch: DataFrame, number: int) -> None:
-        fresh = upserts.first_of(batch, key, [F.desc("mtime_ms"), F.desc("size")])
-        before = version(spark, table, number - 1)
-        whole = fresh if before is None else upserts.upsert(before, fresh, key)
-        whole.write.mode("overwrite").parquet(f"{table}/version={number}")
+        upserts.first_of(batch, key, [F.desc("mtime_ms"), F.desc("size")]).write.mode("overwrite").parquet(f"{table}/version={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def version(spark: SparkSession, table: str, number: int) -> DataFrame | None:
-    """One version of such a folder, if it was written whole."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/version={number}/_SUCCESS")
-    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
-    return spark.read.parquet(f"{table}/version={number}") if number >= 0 and there else None
-
-
-def latest(spark: SparkSession, table: str) -> DataFrame | None:
-    """The last version written whole."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+def _parts(spark: SparkSession, table: str) -> list[tuple[int, bool, str]]:
+    """(number, whether it is a base, folder) of all versions that were written whole, in order."""
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    folder = jvm.Path(table)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not files.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    found = [(int(n.split("=")[1]), n.startswith("base="), f"{table}/{n}") for n in names if n.startswith(("version=", "base="))]
+    return sorted(p for p in found if files.exists(jvm.Path(f"{p[2]}/_SUCCESS")))
+
+
+def latest(spark: SparkSession, table: str, key: list[str], until: int | None = None) -> DataFrame | None:
+    """The rows of such a folder after a version (the last one without ``until``): of each key its last delivery.
+
+    Which delivery that is comes from the keys alone; contents are not sorted or
+    grouped. Versions before the last base aren't read.
+    """
+    parts = [p for p in _parts(spark, table) if until is None or p[0] <= until]
+    if not parts:
+        return None
+    base = max((n for n, (_, is_base, _) in enumerate(parts) if is_base), default=0)
+    # a base stands for its number and all before, its own version included
+    kept = [p for p in parts[base:] if not (parts[base][1] and p[0] <= parts[base][0] and not p[1])]
+    if len(kept) == 1:
+        return spark.read.parquet(kept[0][2])
+    whole = None
+    for number, is_base, folder in kept:
+        part = spark.read.parquet(folder).withColumn("__version", F.lit(-1 if is_base else number))
+        whole = part if whole is None else whole.unionByName(part)
+    last = whole.groupBy(*key).agg(F.max("__version").alias("__last"))
+    joined = lookup_join(whole, last, key, "inner", key[0])
+    return joined.where("__version = __last").drop("__version", "__last")
+
+
+def compact(spark: SparkSession, table: str, key: list[str]) -> int | None:
+    """Write the latest rows as a base, from which readers begin; its number. Older versions may be deleted then."""
+    parts = _parts(spark, table)
+    if not parts:
         return None
-    numbers = sorted((int(n.split("=")[1]) for s in files.listStatus(folder) if (n := s.getPath().getName()).startswith("version=")), reverse=True)
-    return next((found for n in numbers if (found := version(spark, table, n)) is not None), None)
+    number = parts[-1][0]
+    latest(spark, table, key).write.mode("overwrite").parquet(f"{table}/base={number}")
+    return number
 
 
 def event_stream(spark: SparkSession, folder: str, schema, files_a_batch: int = 100) -> DataFrame:

@@ -19,12 +19,20 @@ def test_modules(spark, tmp_path):
     put(root, "CommonModules/А/Ext/Module.bsl", "one")
     put(root, "CommonModules/Б/Ext/Module.bsl", "two")
     run = lambda: ingest.upsert_into(ingest.module_stream(spark, str(root)), table, check, ["rel_path"]).awaitTermination()
+    held = lambda until=None: sorted((r.doc_id, r.content) for r in ingest.latest(spark, table, ["rel_path"], until).collect())
     run()
-    assert sorted((r.doc_id, r.content) for r in ingest.latest(spark, table).collect()) == [("ОбщийМодуль.А.Модуль", "one"), ("ОбщийМодуль.Б.Модуль", "two")]
+    first = [("ОбщийМодуль.А.Модуль", "one"), ("ОбщийМодуль.Б.Модуль", "two")]
+    assert held() == first
     put(root, "CommonModules/В/Ext/Module.bsl", "three")
     run()
-    assert ingest.latest(spark, table).count() == 3 and ingest.version(spark, table, 0).count() == 2 and ingest.version(spark, table, 9) is None
-    assert ingest.latest(spark, str(tmp_path / "none")) is None
+    assert held() == [*first, ("ОбщийМодуль.В.Модуль", "three")] and held(0) == first
+    again = spark.read.parquet(f"{table}/version=0").withColumn("content", F.concat("content", F.lit("!")))
+    again.write.parquet(f"{table}/version=7")  # a later delivery of both
+    assert [c for _, c in held()] == ["one!", "two!", "three"] and held(1) == [*first, ("ОбщийМодуль.В.Модуль", "three")]
+    assert ingest.compact(spark, table, ["rel_path"]) == 7 and [c for _, c in held()] == ["one!", "two!", "three"]
+    again.where("content = 'one!'").withColumn("content", F.lit("1")).write.parquet(f"{table}/version=8")
+    assert [c for _, c in held()] == ["1", "two!", "three"]
+    assert ingest.latest(spark, str(tmp_path / "none"), ["rel_path"]) is None and ingest.compact(spark, str(tmp_path / "none"), ["rel_path"]) is None
 
 
 def test_events(spark, tmp_path):
