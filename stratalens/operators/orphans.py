@@ -31,14 +31,24 @@ def _key(tag: str, *columns: str) -> Column:
     return F.xxhash64(F.lit(tag), *columns)
 
 
+def _merged(spans: DataFrame, *within: str) -> DataFrame:
+    """Spans (since, until) that overlap or touch, as one, of each group."""
+    own = W.partitionBy(*within).orderBy("since")
+    reached = spans.withColumn("reached", F.max("until").over(own.rowsBetween(W.unboundedPreceding, -1)))
+    numbered = reached.withColumn("span", F.sum(F.when(F.col("since") <= F.col("reached"), 0).otherwise(1)).over(own))
+    return numbered.groupBy(*within, "span").agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("span")
+
+
 def lives(universe: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of each (repo, object): when it first began, and the disjoint spans in which it exists."""
+    """Of each (repo, object): when it first began, and the disjoint spans in which it exists.
+
+    Spans are merged by month of their beginning first, so that an object with
+    very many rows is split among tasks and only what is left of it meets.
+    """
     rows = universe.groupBy("repo", "object", "first_seen").agg(F.max(F.coalesce("deleted_at", F.expr(_NEVER))).alias("until"))
     begun = rows.groupBy("repo", "object").agg(F.min("first_seen").alias("begun"))
-    own = W.partitionBy("repo", "object").orderBy("first_seen")
-    spans = rows.where("until > first_seen").withColumn("reached", F.max("until").over(own.rowsBetween(W.unboundedPreceding, -1)))
-    spans = spans.withColumn("span", F.sum(F.when(F.col("first_seen") <= F.col("reached"), 0).otherwise(1)).over(own))
-    return begun, spans.groupBy("repo", "object", "span").agg(F.min("first_seen").alias("since"), F.max("until").alias("until")).drop("span")
+    spans = rows.where("until > first_seen").select("repo", "object", F.col("first_seen").alias("since"), "until", F.date_trunc("month", "first_seen").alias("month"))
+    return begun, _merged(_merged(spans, "repo", "object", "month"), "repo", "object")
 
 
 def orphans(membership: DataFrame, universe: DataFrame, subsystem: DataFrame, kinds: DataFrame, most_bytes: int = bloom.MOST_BYTES, most_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -230,6 +230,23 @@ def form_files(spark, root: str, object_type: str, object_name: str) -> DataFram
     return files.select("path", form_path(F.col("path"))["form_name"].alias("form_name"), "content").where("form_name is not null")
 
 
+# Properties that name an object's main form, in the order they are asked, and events of a form asked of the live side.
+MAIN_FORMS = ("ОсновнаяФормаОбъекта", "ОсновнаяФормаСписка", "ОсновнаяФормаВыбора", "ОсновнаяФорма")
+LIVE_EVENTS = ("ПриОткрытии", "ПриСозданииНаСервере", "ПередЗаписью", "ПриЗаписиНаСервере", "ПослеЗаписиНаСервере", "ПередЗакрытием", "ОбработкаОповещения", "ОбработкаНавигационнойСсылки", "ОбработкаВыбора")
+
+
+def main_form(properties: Column, forms: Column) -> Column:
+    """The form that an object's properties (a map) name as its main one, else the first of its forms, else null."""
+    named = [F.try_element_at(properties, F.lit(p)) for p in MAIN_FORMS]
+    return F.coalesce(*named, F.get(forms, F.lit(0)))
+
+
+def live_handlers(properties: Column) -> Column:
+    """(event, handler) of those events that a form's properties (a map) have a handler for."""
+    every = F.transform(F.array(*map(F.lit, LIVE_EVENTS)), lambda e: F.struct(e.alias("event"), F.try_element_at(properties, e).alias("handler")))
+    return F.filter(every, lambda h: F.trim(h["handler"]) != "")
+
+
 COLLECTIONS = ("elements", "handlers", "commands", "dynamic_lists")
 
 

@@ -172,6 +172,20 @@ def test_p5_edges(spark):
     assert {r[2] for r in rows(orphans.found(given[0], empty[1], empty[2], empty[3]))} == {"missing"}
 
 
+def test_spans_are_merged(spark):
+    rng = random.Random(9)
+    at = lambda: dt.datetime(2025, 1, 1) + dt.timedelta(days=rng.randint(0, 400))
+    life = [("r", f"o{rng.randint(0, 9)}", at(), rng.choice([None, at(), at()]) if rng.random() < 0.7 else at()) for _ in range(300)]
+    _, spans = orphans.lives(spark.createDataFrame(life, "repo string, object string, first_seen timestamp, deleted_at timestamp"))
+    got = spans.collect()
+    for name in {o for _, o, _, _ in life}:
+        own = sorted((r.since, r.until) for r in got if r.object == name)
+        assert all(a[1] < b[0] for a, b in zip(own, own[1:]))
+        for day in range(420):
+            t = dt.datetime(2025, 1, 1) + dt.timedelta(days=day)
+            assert any(a <= t < b for a, b in own) == any(o == name and s <= t and (e is None or t < e) for _, o, s, e in life)
+
+
 def test_bloom(spark):
     keys = spark.range(50_000).select(F.xxhash64("id").alias("h"))
     for bits in (bloom.SEGMENT_BITS, 1 << 12):

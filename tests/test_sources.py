@@ -133,6 +133,12 @@ def test_form_merge(spark):
     assert rows(formxml.merged(live, dump, ["object"])) == [("a", "Ф", ["d"], ["l"], ["d"], None), ("b", "Другая", ["d"], [], [], []), ("c", "Ф", ["l"], [], [], []), ("d", "Ф", ["d"], [], [], []), ("e", "Ф", ["l"], [], [], [])]
 
 
+def test_live_forms(spark):
+    df = spark.createDataFrame([({"ОсновнаяФорма": "Ф2", "ОсновнаяФормаСписка": "Ф1", "ПриОткрытии": "А", "ПередЗаписью": " ", "Иное": "x"}, ["Ф3"]), ({}, ["Ф3", "Ф4"]), ({}, [])], "p map<string,string>, f array<string>")
+    got = df.select(formxml.main_form(F.col("p"), F.col("f")).alias("m"), formxml.live_handlers(F.col("p")).alias("h")).collect()
+    assert [r.m for r in got] == ["Ф1", "Ф3", None] and [[tuple(h) for h in r.h] for r in got] == [[("ПриОткрытии", "А")], [], []]
+
+
 def subsystem_xml(name, content=(), inner="", synonym="С"):
     items = "".join(f"<v:Item>{c}</v:Item>" for c in content)
     return f'<MetaDataObject xmlns:v="urn:v"><Subsystem><Properties><Name>{name}</Name><Synonym><v:item><v:lang>en</v:lang><v:content>E</v:content></v:item><v:item><v:lang>ru</v:lang><v:content>{synonym}</v:content></v:item></Synonym><Content>{items}</Content></Properties><ChildObjects>{inner}</ChildObjects></Subsystem></MetaDataObject>'
