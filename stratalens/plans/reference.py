@@ -176,6 +176,13 @@ def postings_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.matched(_postings(spark, sf_dir), WORDS + " Если", catalog.SYNONYMS)
 
 
+@query(_POSTINGS.replace("from documents where text is not null", f"from (select distinct file_id as doc_id, content as text from ({_MODULES}))") + "select * from posting")
+def module_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of all modules, built anew."""
+    own = _modules(spark, sf_dir).select("file_id", "content").dropDuplicates(["file_id"])
+    return search.postings(own, "file_id", "content", catalog.SYNONYMS)
+
+
 @query(f"""
     with held as (select distinct repo, doc_id, true as held from ({_MODULES})), entry as ({modules.ENTRIES_SQL})
     select count(*) as entries, count_if(held is null)::bigint as unreadable from entry left join held using (repo, doc_id)""")

@@ -160,6 +160,10 @@ def begins_as_query(text: str) -> bool:
     return re.match(r"(?:select|выбрать)(?!\w)", text.strip(), re.I) is not None
 
 
+#: Functions that run code of their own, which no query needs.
+_CODE = {"reflect", "try_reflect", "java_method", "ai_query"}
+
+
 def parameter(value):
     """A parameter's value: ISO text becomes a moment, everything else stays."""
     if isinstance(value, str) and re.fullmatch(r"\d{4}-\d\d-\d\d(?:[T ]\d\d:\d\d:\d\d)?", value):
@@ -180,6 +184,8 @@ def prepared(spark: SparkSession, text: str, parameters: dict | None = None, tab
     """The query's result, whole; errors of the text or of names are QueryError."""
     if not begins_as_query(text):
         raise QueryError("a query begins with SELECT or ВЫБРАТЬ")
+    if called := _CODE & {t.lower().strip("`") for k, t in _tokens(text) if k in ("word", "text")}:
+        raise QueryError(f"{called.pop()} is not allowed")
     args = {_parameter_name(k): parameter(v) for k, v in (parameters or {}).items()}
     try:
         return _analysed(spark, translate(text, tables, values), args)

@@ -42,7 +42,7 @@ def test_execute(spark):
     assert sqlfront.parameter("2025-01-02T03:04:05") == dt.datetime(2025, 1, 2, 3, 4, 5) and sqlfront.parameter("2025-13-02") == "2025-13-02" and sqlfront.parameter(5) == 5
 
 
-@pytest.mark.parametrize("text", ["drop view numbers", "SELECTX 1", "insert into x select 1", "select 1; drop view numbers", "select * from nowhere", "select (", "select 1) limit 0; drop view numbers --", "ВЫБРАТЬ ЗНАЧЕНИЕ(Нет.Такого)", ""])
+@pytest.mark.parametrize("text", ["drop view numbers", "SELECTX 1", "insert into x select 1", "select 1; drop view numbers", "select * from nowhere", "select (", "select 1) limit 0; drop view numbers --", "ВЫБРАТЬ ЗНАЧЕНИЕ(Нет.Такого)", "select Reflect('java.lang.Math', 'abs', 1)", "select `java_method`('java.lang.Math', 'abs', 1)", ""])
 def test_refused(spark, text):
     spark.range(3).createOrReplaceTempView("numbers")
     with pytest.raises(sqlfront.QueryError):
