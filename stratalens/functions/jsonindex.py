@@ -14,6 +14,10 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
 #: Classes of tokens, and of the two ends of a text.
 _START, _OBJECT, _ARRAY, _OBJECT_END, _ARRAY_END, _COMMA, _COLON, _STRING, _SCALAR, _KEY, _NEXT_KEY, _STOP = range(12)
@@ -57,27 +61,47 @@ class Nodes:
     key_end: np.ndarray
     well: np.ndarray  # of each text: whether it is JSON
 
-    def raw(self, i: int) -> str:
-        return self.data[self.begin[i] : self.end[i]].tobytes().decode("utf-8", "replace")
-
-    def value(self, i: int) -> str | None:
-        """A string's characters, nothing for null, any other value as it is written."""
-        raw = self.raw(i)
-        if self.kind[i] == 0x22:
-            return json.loads(raw) if "\\" in raw else raw[1:-1]
-        return None if raw == "null" else raw
+    def strings(self, at: np.ndarray) -> pa.Array:
+        """Of each node of ``at`` the string's characters, nothing for null and for -1, any other value as it is written; by one gathering of bytes."""
+        there = at >= 0
+        own = np.where(there, at, 0)
+        quoted = np.zeros(len(at), bool)
+        if len(self.kind):
+            quoted = self.kind[own] == 0x22
+            there = there & (self.kind[own] != 0x6E)  # n begins null alone
+        begin = np.where(there, self.begin[own] + quoted, 0) if len(self.kind) else np.zeros(len(at), np.int64)
+        size = np.where(there, self.end[own] - quoted - begin, 0) if len(self.kind) else np.zeros(len(at), np.int64)
+        stops = np.cumsum(size)
+        where = np.repeat(begin - (stops - size), size) + np.arange(int(stops[-1]) if len(stops) else 0)
+        data = self.data[where]
+        offsets = np.append(0, stops)
+        valid = pa.array(there).buffers()[1]
+        out = pa.Array.from_buffers(pa.large_string(), len(at), [valid, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(data)])
+        slashes = np.append(0, np.cumsum(data == 0x5C))
+        escaped = quoted & there & (slashes[offsets[1:]] > slashes[offsets[:-1]])
+        if escaped.any():
+            written = out.filter(pa.array(escaped)).dictionary_encode()
+            plain = pa.array([json.loads(f'"{t}"') for t in written.dictionary.to_pylist()], pa.large_string()).take(written.indices)
+            out = pc.replace_with_mask(out, pa.array(escaped), plain)
+        return out
 
     def codes(self, names: list[str]) -> np.ndarray:
-        """The index in ``names`` (ASCII) of each node's key; -1 for other keys and for none."""
-        width = max(map(len, names)) + 1
+        """The index in ``names`` (ASCII, below 24 bytes) of each node's key; -1 for other keys and for none."""
+        width = 24
         keyed = np.flatnonzero(self.key_begin >= 0)
         out = np.full(len(self.text), -1)
+        if not len(keyed):
+            return out
         size = self.key_end[keyed] - self.key_begin[keyed]
-        at = np.minimum(self.key_begin[keyed][:, None] + np.arange(width), max(len(self.data) - 1, 0))
-        letters = np.where(np.arange(width) < size[:, None], self.data[at] if len(keyed) else 0, 0).astype(np.uint8)
-        for n, name in enumerate(names):
-            wanted = np.frombuffer(name.encode().ljust(width, b"\0"), np.uint8)
-            out[keyed[(size == len(name)) & (letters == wanted).all(axis=1)]] = n
+        padded = np.append(self.data, np.zeros(width, np.uint8))
+        letters = np.lib.stride_tricks.sliding_window_view(padded, width)[self.key_begin[keyed]] * (np.arange(width) < size[:, None])
+        known = np.array([list(n.encode().ljust(width, b"\0")) for n in names], np.uint8)
+        mixed = lambda rows: np.ascontiguousarray(rows).view(np.uint64) @ _MIX
+        hashes = mixed(known)
+        order = np.argsort(hashes)
+        found = order[np.minimum(np.searchsorted(hashes[order], mixed(letters)), len(names) - 1)]
+        same = (size < width) & (letters == known[found]).all(axis=1)
+        out[keyed[same]] = found[same]
         place = {name: n for n, name in enumerate(names)}
         slashes = np.append(0, np.cumsum(self.data == 0x5C))
         for i in keyed[slashes[self.key_end[keyed]] > slashes[self.key_begin[keyed]]]:  # keys written with escapes

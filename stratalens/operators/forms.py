@@ -90,31 +90,51 @@ def _parts(nodes: jsonindex.Nodes, role: np.ndarray, chosen: np.ndarray) -> tupl
     return state, owner, position
 
 
-def _rows(nodes: jsonindex.Nodes, records: Iterable[str]) -> Iterator[tuple]:
-    """The rows of the wanted records: text number first, then as in the schema."""
+def _paths(state: np.ndarray, owner: np.ndarray, position: np.ndarray) -> tuple[list, np.ndarray]:
+    """Path of each form and element, by node, and its depth; owners stand before what they own."""
+    path: list = [None] * len(state)
+    depth = np.zeros(len(state), np.int32)
+    for i in np.flatnonzero((state == FORM) | (state == ELEMENT)).tolist():
+        up = owner[i]
+        if up < 0:
+            path[i] = ""
+        else:
+            path[i] = f"{path[up]}.{position[i]}" if path[up] else str(position[i])
+            depth[i] = depth[up] + 1
+    return path, depth
+
+
+def _records(nodes: jsonindex.Nodes, records: Iterable[str], form_ids: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The rows of the wanted records, as in the schema; ``form_ids`` are those of the texts."""
     role, chosen = _chosen(nodes)
     state, owner, position = _parts(nodes, role, chosen)
-    path, above, depth = {-1: None}, {}, {}
-    for i in np.flatnonzero((state == FORM) | (state == ELEMENT)).tolist():  # owners stand before what they own
-        up = int(owner[i])
-        path[i] = "" if up < 0 else f"{path[up]}.{position[i]}" if path[up] else str(position[i])
-        above[i], depth[i] = path[up], 0 if up < 0 else depth[up] + 1
-    flags = ("parseIncomplete", "noFormRoot") if "form" in records else ()
-    child = {}
-    for k in {k for r in records for k in _OF[r]}.union(flags):
-        own = np.flatnonzero(chosen & (role == _ROLE[k]))
-        child[k] = dict(zip(nodes.parent[own].tolist(), own.tolist()))
-    value = lambda k, i: None if (at := child[k].get(i)) is None else nodes.value(at)
-    text = nodes.text.tolist()
+    path, depth = _paths(state, owner, position)
+    child: dict[str, np.ndarray] = {}
     for record in records:
-        has = [k in _OF[record] for k in _TEXTS]
-        for i in np.flatnonzero(state == _RECORDS[record]).tolist():
-            mine = i if record in ("form", "element") else int(owner[i])
-            texts = [value(k, i) if there else None for k, there in zip(_TEXTS, has)]
-            if record == "event":
-                texts[4:6] = (x or "" for x in texts[4:6])
-            found = [None if record != "form" or (x := value(k, i)) not in ("true", "false") else x == "true" for k in flags] or [None, None]
-            yield text[i], record, path[mine], above[mine], 1 if record == "form" else int(position[i]), depth[mine], *texts, *found
+        own = np.flatnonzero(state == _RECORDS[record])
+        if not len(own):
+            continue
+        mine = own if record in ("form", "element") else owner[own]
+        above = owner[mine]
+
+        def values(key: str, own=own) -> pa.Array:
+            if key not in child:
+                held = np.flatnonzero(chosen & (role == _ROLE[key]))
+                child[key] = np.full(len(role), -1)
+                child[key][nodes.parent[held]] = held
+            return nodes.strings(child[key][own])
+
+        nothing = lambda kind, n=len(own): pa.nulls(n, kind)
+        texts = [values(k) if k in _OF[record] else nothing(pa.string()) for k in _TEXTS]
+        if record == "event":
+            texts[4:6] = [t.fill_null("") for t in texts[4:6]]
+        # text that is neither true nor false is no flag
+        flags = [pa.array([{"true": True, "false": False}.get(x) for x in values(k).to_pylist()], pa.bool_()) if record == "form" else nothing(pa.bool_()) for k in ("parseIncomplete", "noFormRoot")]
+        columns = [
+            form_ids.take(pa.array(nodes.text[own])), pa.array([record] * len(own)), pa.array([path[i] for i in mine.tolist()], pa.string()),
+            pa.array([None if i < 0 else path[i] for i in above.tolist()], pa.string()), pa.array(np.ones(len(own)) if record == "form" else position[own]).cast(pa.int32()), pa.array(depth[mine]), *texts, *flags,
+        ]
+        yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
 
 def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -131,13 +151,8 @@ def _slices(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _reader(records: tuple[str, ...]):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
-
-        def emitted() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*waiting), _SCHEMA)], schema=_SCHEMA)
-
         for batch in batches:
-            form, payload = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())
+            payload = batch.column(1).cast(pa.large_binary())
             offsets = np.frombuffer(payload.buffers()[1], np.int64)[payload.offset : payload.offset + len(payload) + 1]
             whole = np.frombuffer(payload.buffers()[2] or b"", np.uint8)
             for a, b in _slices(np.diff(offsets)):
@@ -146,13 +161,9 @@ def _reader(records: tuple[str, ...]):
                 if marks:
                     data = data.copy()
                     data[(np.array(marks)[:, None] + np.arange(3)).ravel()] = 0x20
-                for number, *row in _rows(jsonindex.index(data, starts), records):
-                    waiting.append((form[a + number], *row))
-                    if len(waiting) >= _ROWS:
-                        yield emitted()
-                        waiting = []
-        if waiting:
-            yield emitted()
+                for out in _records(jsonindex.index(data, starts), records, batch.column(0).slice(a, b - a)):
+                    for at in range(0, out.num_rows, _ROWS):
+                        yield out.slice(at, _ROWS)
 
     return read
 
