@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratalens.llm.scripts import Scripts, scripts
+from stratalens.llm.scripts import SEVERAL, Scripts, scripts
 from stratalens.session import lookup_join, materialize
 
 
@@ -161,18 +161,32 @@ def forms(path_entry: DataFrame, subsystem: DataFrame) -> DataFrame:
     return texts.withColumn("f", looks("t", texts.sparkSession)).select("field_name", F.col("id").alias("row_id"), F.col("t").alias("text"), F.col("f.text").alias("form"), F.col("f.mixed").alias("mixed_words"), F.col("f.whole").alias("whole_script_words"))
 
 
+def _coarse(column: str, spark: SparkSession) -> Column:
+    """A form of built-in functions that is equal wherever consistent forms are."""
+    text = F.col(column)
+    for one, several in SEVERAL.items():
+        text = F.replace(text, F.lit(one), F.lit(several))
+    return F.translate(text, *scripts(spark).coarse)
+
+
 def found(path_entry: DataFrame, subsystem: DataFrame) -> DataFrame:
     """p1_found: (field_name, id_a, id_b) of rows with equal forms and different characters.
 
-    Only groups in which texts differ are joined with themselves. Defined
-    results: as of ``forms``; nulls in what must be equal are equal to each other.
+    Only texts that differ from another one of equal coarse form get their
+    consistent form at all. Pairs are made of spellings first, and then of the
+    rows that bear them, so that many rows of one spelling cost no more than the
+    pairs they are in. Defined results: as of ``forms``; nulls in what must be
+    equal are equal to each other.
     """
     spark = path_entry.sparkSession
-    texts = _texts(path_entry, PATH_FIELDS).unionAll(_texts(subsystem, NODE_FIELDS))
-    key = ["field_name", "k", "form"]
-    formed = materialize(texts.withColumn("form", looks("t", spark)["text"]), "formed")
-    varied = formed.groupBy(key).agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a != b").select(key)
-    rows = materialize(lookup_join(formed, varied, key, "left_semi", "id").distinct(), "varied")
-    other = rows.select(*key, F.col("id").alias("id_b"), F.col("t").alias("t_b"))
-    both = lookup_join(rows.withColumnRenamed("id", "id_a"), other, key, "inner", "id_a", (F.col("id_a") < F.col("id_b")) & (F.col("t") != F.col("t_b")))
+    texts = _texts(path_entry, PATH_FIELDS).unionAll(_texts(subsystem, NODE_FIELDS)).withColumn("coarse", _coarse("t", spark))
+    near, key = ["field_name", "k", "coarse"], ["field_name", "k", "form"]
+    varied = texts.groupBy(near).agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a != b").select(near)
+    rows = materialize(lookup_join(texts, varied, near, "left_semi", "id").drop("coarse").distinct(), "near")
+    spelled = rows.select("field_name", "k", "t").distinct().withColumn("form", looks("t", spark)["text"])
+    spelled = materialize(spelled, "spelled")
+    pairs = lookup_join(spelled, spelled.withColumnRenamed("t", "t_b"), key, "inner", "t", F.col("t") != F.col("t_b")).drop("form")
+    left = lookup_join(rows.withColumnRenamed("id", "id_a"), pairs, ["field_name", "k", "t"], "inner", "id_a")
+    right = rows.select("field_name", "k", F.col("t").alias("t_b"), F.col("id").alias("id_b"))
+    both = lookup_join(left, right, ["field_name", "k", "t_b"], "inner", "id_a", F.col("id_a") < F.col("id_b"))
     return both.select("field_name", "id_a", "id_b").distinct()

@@ -33,13 +33,14 @@ class Scripts:
     look: dict[str, int]  # letter to class
     members: list[dict[int, str]]  # of a class: the letter of each script, by bit number
     level: dict[int, str]  # characters nobody sees become nothing, those that differ in width alone another
+    coarse: tuple[str, str] = ("", "")  # of a form of built-in functions: characters, and what they become
     _known: dict[str, int] = field(default_factory=dict)
     #: What readers remember of parts of texts; not sent to executors.
     parts: dict = field(default_factory=dict)
     spelled: dict = field(default_factory=dict)
 
     def __getstate__(self):
-        return {"names": self.names, "begins": self.begins, "masks": self.masks, "look": self.look, "members": self.members, "level": self.level}
+        return {"names": self.names, "begins": self.begins, "masks": self.masks, "look": self.look, "members": self.members, "level": self.level, "coarse": self.coarse}
 
     def __setstate__(self, state):
         self.__init__(**state)
@@ -86,6 +87,38 @@ def _levels() -> dict[int, str]:
     return level
 
 
+#: Characters that become several; all others become one at most.
+SEVERAL = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in range(0xFB00, 0xFB07)}
+
+
+def _coarse(made: Scripts) -> tuple[str, str]:
+    """Characters and what they become in a form that is equal wherever consistent forms are.
+
+    Marks go, letters become the first of their class. What decomposes into
+    several letters goes, and so do those letters. Characters without
+    counterpart stand last.
+    """
+    alike = lambda c: made.members[made.look[c]][min(made.members[made.look[c]])] if c in made.look else c
+    become, gone = {}, set()
+    for n in range(0x110000):
+        if 0xD800 <= n < 0xE000:
+            continue
+        c = chr(n)
+        whole = unicodedata.normalize("NFD", made.level.get(n, c))
+        bases = [x for x in whole if unicodedata.category(x)[0] != "M"]
+        if c in SEVERAL:
+            continue
+        if len(bases) > 1:
+            gone.update(bases, c)
+        elif not bases:
+            become[c] = ""
+        elif (one := alike(bases[0])) != c:
+            become[c] = one
+    become |= dict.fromkeys(gone | {c for c, x in become.items() if x in gone}, "")
+    order = sorted(become, key=lambda c: not become[c])
+    return "".join(order), "".join(become[c] for c in order)
+
+
 def _base_letters() -> list[str]:
     """Letters that are no composed or compatibility forms."""
     return [c for n in range(0x110000) if not 0xD800 <= n < 0xE000 and unicodedata.category(c := chr(n)) in ("Lu", "Ll", "Lo") and not unicodedata.decomposition(c)]
@@ -158,5 +191,6 @@ def scripts(spark: SparkSession) -> Scripts:
             done.update(group)
             made.look |= {c: len(made.members) for c in members.values()}
             made.members.append(members)
+    made.coarse = _coarse(made)
     _MADE.append(made)
     return made

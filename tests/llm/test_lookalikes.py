@@ -1,8 +1,11 @@
 """Problem 1: forms and pairs, against a plain pairwise comparison."""
 
 import datetime as dt
+import random
+import unicodedata
 
 import pytest
+from pyspark.sql import functions as F
 
 from stratalens.llm import lookalikes
 from stratalens.llm.scripts import scripts
@@ -72,3 +75,22 @@ def test_brute_force(spark, form):
     own = [(r.entry_id, r.repo, r.doc_id, form(r.doc_id)) for r in entry.distinct().collect() if r.doc_id is not None]
     expected = {(a[0], b[0]) for a in own for b in own if a[0] < b[0] and a[1] == b[1] and a[2] != b[2] and a[3] == b[3]}
     assert {r[1:] for r in rows(lookalikes.found(entry, nodes)) if r[0] == "doc_id"} == expected
+
+
+def test_coarse_forms_are_equal_wherever_forms_are(spark, form):
+    rng = random.Random(8)
+    known = scripts(spark)
+    alphabet = list("АаЕеСсОоХхРрЙйЁёЖжABCOXaceoxpyäöüéÅ 1_.-") + ["\u0306", "\u0308", "\u200b", "\ufeff", "\u00a0", "\u3000", "Ａ", "ｅ", "Ο", "ο", "ﬁ", "fi", "각", "가", "\U0001d400", "\u212b", "Ӏ", "I", "l"]
+    sames = {}
+    for _ in range(4000):
+        text = "".join(rng.choices(alphabet, k=rng.randint(1, 6)))
+        sames.setdefault(form(text), set()).add(text)
+        other = "".join(rng.choice([c, *known.members[known.look[c]].values()]) if c in known.look else c for c in text)
+        sames.setdefault(form(other), set()).add(unicodedata.normalize(rng.choice(["NFC", "NFD"]), other))
+    df = spark.createDataFrame([(f, t) for f, ts in sames.items() for t in ts], "f string, t string")
+    assert df.select("f", lookalikes._coarse("t", spark).alias("c")).distinct().groupBy("f").count().where("count > 1").count() == 0
+
+
+def test_many_rows_of_one_spelling(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("subsystem_id"), F.lit("r").alias("repo"), F.when(F.col("id") == 7, "Cклад").otherwise("Склад").alias("name"))
+    assert lookalikes.found(spark.createDataFrame([], ENTRY), rows).count() == 19_999
