@@ -179,10 +179,12 @@ def found(path_entry: DataFrame, subsystem: DataFrame) -> DataFrame:
     equal are equal to each other.
     """
     spark = path_entry.sparkSession
-    texts = _texts(path_entry, PATH_FIELDS).unionAll(_texts(subsystem, NODE_FIELDS)).withColumn("coarse", _coarse("t", spark))
-    near, key = ["field_name", "k", "coarse"], ["field_name", "k", "form"]
-    varied = texts.groupBy(near).agg(F.min("t").alias("a"), F.max("t").alias("b")).where("a != b").select(near)
-    rows = materialize(lookup_join(texts, varied, near, "left_semi", "id").drop("coarse").distinct(), "near")
+    texts = _texts(path_entry, PATH_FIELDS).unionAll(_texts(subsystem, NODE_FIELDS)).withColumn("near", F.xxhash64("field_name", "k", _coarse("t", spark)))
+    # hashes that meet by chance make a group larger; texts of a group are told apart by 128 bits
+    a, b = F.xxhash64("t"), F.xxhash64(F.lit(1), "t")
+    varied = texts.groupBy("near").agg(F.min(a).alias("a"), F.max(a).alias("a2"), F.min(b).alias("b"), F.max(b).alias("b2")).where("a != a2 or b != b2").select("near")
+    rows = materialize(lookup_join(texts, varied, ["near"], "left_semi", "id").drop("near").distinct(), "near")
+    key = ["field_name", "k", "form"]
     spelled = rows.select("field_name", "k", "t").distinct().withColumn("form", looks("t", spark)["text"])
     spelled = materialize(spelled, "spelled")
     pairs = lookup_join(spelled, spelled.withColumnRenamed("t", "t_b"), key, "inner", "t", F.col("t") != F.col("t_b")).drop("form")
