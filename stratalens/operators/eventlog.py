@@ -53,8 +53,8 @@ def total(events: DataFrame) -> DataFrame:
 
 
 def page_with_total(events: DataFrame, limit: int | None = None) -> DataFrame:
-    """The page with the number of all events beside each row; the count isn't a window over the log."""
-    return page(events, limit).join(F.broadcast(events.agg(F.count("*").alias("total"))))  # one row
+    """The page with the number of all events beside each row, by a scalar subquery."""
+    return page(events, limit).withColumn("total", events.agg(F.count("*")).scalar())
 
 
 # --- windows

@@ -96,14 +96,13 @@ def scored(df: DataFrame, ids: list[str], content: str, query: str, synonyms: di
         return df.where("false").select(*ids, F.lit(0.0).alias("score"))
     table = materialize(counted(df, ids, content, wanted, synonyms), "term_counts")
     names = [f"tf{i}" for i in range(len(wanted))]
-    # one row with the statistics of the corpus
-    stats = table.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *[F.count_if(F.col(c) > 0).alias(f"df_{c}") for c in names])
+    # one row with the statistics of the corpus, from the written counts
+    n, mean, *held = table.agg(F.count("*"), F.avg("length"), *[F.count_if(F.col(c) > 0) for c in names]).first()
     score = F.lit(0.0)
-    for c in names:
-        idf = F.log1p((F.col("n") - F.col(f"df_{c}") + 0.5) / (F.col(f"df_{c}") + 0.5))
-        score = score + idf * F.col(c) * (K1 + 1) / (F.col(c) + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    hits = table.where(" or ".join(f"{c} > 0" for c in names)).join(F.broadcast(stats))
-    return hits.select(*ids, F.round(score, 6).alias("score"))
+    for c, df in zip(names, held):
+        idf = F.log1p(F.lit((n - df + 0.5) / (df + 0.5)))
+        score = score + idf * F.col(c) * (K1 + 1) / (F.col(c) + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
+    return table.where(" or ".join(f"{c} > 0" for c in names)).select(*ids, F.round(score, 6).alias("score"))
 
 
 def ranked(documents: DataFrame, query: str, limit: int | None = None) -> DataFrame:

@@ -87,6 +87,6 @@ def reload_report(old: DataFrame, new: DataFrame, key: list[str], fields: list[s
     ``accepted`` is false where a filled snapshot would be replaced by an empty one.
     """
     counts = file_diff(old, new, key, fields).agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("added", "modified", "deleted")])
-    sizes = old.agg(F.count("*").alias("before")).join(new.agg(F.count("*").alias("after")))
-    out = sizes.join(counts)  # three rows of one each
+    count = lambda df: df.agg(F.count("*")).scalar()
+    out = counts.select(count(old).alias("before"), count(new).alias("after"), "added", "modified", "deleted")
     return out.withColumn("changed", F.col("added") + F.col("modified") + F.col("deleted") > 0).withColumn("accepted", (F.col("after") > 0) | (F.col("before") == 0))

@@ -214,8 +214,8 @@ def execute(spark: SparkSession, text: str, limit: int | None = None, parameters
 def truncated(df: DataFrame, order: list[str], limit: int) -> DataFrame:
     """The first ``limit`` rows, each with whether there were more."""
     ahead = df.orderBy(*order).limit(limit + 1)
-    more = ahead.agg((F.count("*") > limit).alias("truncated"))
-    return ahead.orderBy(*order).limit(limit).join(F.broadcast(more))  # one row
+    more = ahead.agg(F.count("*") > limit)
+    return ahead.orderBy(*order).limit(limit).withColumn("truncated", more.scalar())
 
 
 def validate(spark: SparkSession, text: str, parameters: dict | None = None, tables: dict[str, str] | None = None, values: dict[str, str] | None = None) -> tuple[bool, list[str]]:

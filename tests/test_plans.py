@@ -113,7 +113,7 @@ def test_subsystems(spark):
 def test_collapsed(spark):
     df = spark.createDataFrame([("r", f"k{n % 7}") for n in range(15)] + [("q", "x")], "repo string, doc_id string")
     assert rows(modules.collapsed(df)) == [("r", 8, 7, "k0|k1|k2|k3|k4")]
-    assert rows(modules.counts(df)) == [(16, 8)] and modules.contains(df, "k3") and not modules.contains(df, "k9")
+    assert rows(modules.counts(df)) == [(16, 8)] and modules.contains(df, "k3") and modules.content(df, "k3").count() == 2 and not modules.contains(df, "k9")
 
 
 def test_changes(spark):
