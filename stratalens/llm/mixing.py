@@ -156,12 +156,11 @@ def mix_sized(sized: DataFrame, targets: DataFrame, total_tokens: int | None = N
 def _shares(chosen: DataFrame, per_source: DataFrame, goals: DataFrame) -> DataFrame:
     taken = chosen.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("mixed_tokens"), F.count("*").alias("documents_used"), F.max("uses").alias("most_uses"))
     taken = materialize(taken, "taken")
-    whole = taken.agg(F.sum("mixed_tokens").alias("whole"))
+    whole = taken.agg(F.sum("mixed_tokens")).scalar()
     return (
         goals.drop("quota", "shards")
         .join(per_source.drop("rows"), "source", "full")
         .join(taken, "source", "left")
-        .join(F.broadcast(whole))  # one row
         .select(
             "source",
             F.coalesce("weight", F.lit(0.0)).alias("weight"),
@@ -169,7 +168,7 @@ def _shares(chosen: DataFrame, per_source: DataFrame, goals: DataFrame) -> DataF
             "max_repeats",
             F.coalesce("available", F.lit(0)).alias("available_tokens"),
             F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"),
-            F.coalesce(F.col("mixed_tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"),
+            F.coalesce(F.col("mixed_tokens") / whole, F.lit(0.0)).alias("actual_share"),
             F.coalesce("documents_used", F.lit(0)).alias("documents_used"),
             F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
         )
