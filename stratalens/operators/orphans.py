@@ -12,18 +12,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from stratalens.functions import bloom
-from stratalens.session import BROADCAST_ROWS, lookup_join
+from stratalens.session import BROADCAST_ROWS, lookup_join, materialize
 
 _NEVER = "timestamp '9999-12-31 23:59:59'"
 
 
-def _one_spelling(df: DataFrame, kinds: DataFrame) -> DataFrame:
+def _spellings(kinds: DataFrame) -> DataFrame:
+    """(kind, one): every spelling of a kind, and the one that stands for all."""
+    both = kinds.select(F.explode(F.array("singular_eng", "russian_name")).alias("kind"), F.col("singular_eng").alias("one"))
+    return materialize(both.where("kind is not null").groupBy("kind").agg(F.min("one").alias("one")), "spellings")
+
+
+def _one_spelling(df: DataFrame, spellings: DataFrame, spread: str) -> DataFrame:
     """``object`` with its kind in one spelling."""
-    spelling = kinds.select(F.explode(F.array("singular_eng", "russian_name")).alias("kind"), F.col("singular_eng").alias("one")).where("kind is not null")
-    spelling = spelling.groupBy("kind").agg(F.min("one").alias("one")).limit(1000)  # the fixed table has 20 kinds
     rest: Column = F.expr("substring(object, instr(object, '.'))")
     kind = F.when(F.instr("object", ".") > 0, F.substring_index("object", ".", 1))
-    joined = df.withColumn("kind", kind).join(F.broadcast(spelling), "kind", "left")
+    joined = lookup_join(df.withColumn("kind", kind), spellings, ["kind"], "left", spread, written=True)
     return joined.withColumn("object", F.when(F.col("one").isNotNull(), F.concat("one", rest)).otherwise(F.col("object"))).drop("kind", "one")
 
 
@@ -63,9 +67,10 @@ def orphans(membership: DataFrame, universe: DataFrame, subsystem: DataFrame, ki
     """
     spark = membership.sparkSession
     members = membership.where("object is not null and object != ''").select("member_id", "repo", "object", "seen_at")
-    members = _one_spelling(members, kinds).select(F.lit("membership").alias("table_name"), F.col("member_id").alias("row_id"), "repo", F.col("object").alias("target"), "seen_at", _key("o", "repo", "object").alias("h"))
+    spellings = _spellings(kinds)
+    members = _one_spelling(members, spellings, "member_id").select(F.lit("membership").alias("table_name"), F.col("member_id").alias("row_id"), "repo", F.col("object").alias("target"), "seen_at", _key("o", "repo", "object").alias("h"))
     nodes = subsystem.where("parent_path is not null and parent_path != ''").select(F.lit("subsystem").alias("table_name"), F.col("subsystem_id").alias("row_id"), "repo", F.col("parent_path").alias("target"), F.col("read_at").alias("seen_at"), _key("n", "repo", "parent_path").alias("h"))
-    objects = _one_spelling(universe.where("object is not null").select("repo", "object", "first_seen", "deleted_at"), kinds)
+    objects = _one_spelling(universe.where("object is not null").select("repo", "object", "first_seen", "deleted_at"), spellings, "first_seen")
     paths = subsystem.where("path is not null").select("repo", F.col("path").alias("target"))
     keys = objects.select(_key("o", "repo", "object").alias("h")).unionAll(paths.select(_key("n", "repo", "target").alias("h")))
     held = bloom.build(keys, most_bytes)

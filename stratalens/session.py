@@ -63,9 +63,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 BROADCAST_ROWS = 500_000
 
 
-def sized_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """``df`` written once, and whether it has no more than ``most`` rows; if so it is marked for broadcast."""
-    held = materialize(df, "sized")
+def sized_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, written: bool = False) -> tuple[DataFrame, bool]:
+    """``df`` written once (if it isn't yet), and whether it has no more than ``most`` rows; if so it is marked for broadcast."""
+    held = df if written else materialize(df, "sized")
     small = held.limit(most + 1).count() <= most
     return (F.broadcast(held) if small else held), small
 
@@ -74,15 +74,16 @@ def sized_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> tuple[DataFram
 SALTS = 16
 
 
-def lookup_join(rows: DataFrame, held: DataFrame, on: list[str], how: str, spread: str, condition: Column | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
+def lookup_join(rows: DataFrame, held: DataFrame, on: list[str], how: str, spread: str, condition: Column | None = None, most: int = BROADCAST_ROWS, written: bool = False) -> DataFrame:
     """``rows`` joined to the smaller table ``held`` on null-safe equal ``on``, and ``condition`` if given.
 
     ``held`` is broadcast where it has no more than ``most`` rows. Beyond that
     both are shuffled by the keys and a salt of ``spread``, which splits a hot
     key of ``rows`` among tasks and repeats ``held``. The columns of ``on`` come
     from ``rows``. ``how`` is one of inner, left, left_semi and left_anti.
+    ``written`` says that ``held`` is a written table.
     """
-    other, small = sized_broadcast(held, most)
+    other, small = sized_broadcast(held, most, written)
     named = other.select(*[F.col(c).alias(f"__{c}") for c in on], *[c for c in held.columns if c not in on])
     equal = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on]
     if small:

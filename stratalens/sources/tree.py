@@ -105,9 +105,11 @@ def content_of(spark: SparkSession, root: str, rel_path: str) -> str | None:
 
 
 def manifest_json(manifest: DataFrame) -> str:
-    """A snapshot in the form other tools read; for small dumps, as it is one text."""
+    """A snapshot in the form other tools read; one of above a million files is refused, as it is one text."""
     v, sv, zv = upserts.VERSIONS
-    files = {r.rel_path: {"m": r.mtime_ms, "s": r.size, "d": r.doc_id} for r in manifest.select(*MANIFEST.names).limit(1_000_000).toLocalIterator()}
+    if manifest.count() > 1_000_000:
+        raise ValueError("too many files for one text")
+    files = {r.rel_path: {"m": r.mtime_ms, "s": r.size, "d": r.doc_id} for r in manifest.select(*MANIFEST.names).toLocalIterator()}
     return json.dumps({"v": v, "sv": sv, "zv": zv, "f": files}, ensure_ascii=False, sort_keys=True)
 
 
