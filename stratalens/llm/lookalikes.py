@@ -187,8 +187,8 @@ def found(path_entry: DataFrame, subsystem: DataFrame) -> DataFrame:
     key = ["field_name", "k", "form"]
     spelled = rows.select("field_name", "k", "t").distinct().withColumn("form", looks("t", spark)["text"])
     spelled = materialize(spelled, "spelled")
-    pairs = lookup_join(spelled, spelled.withColumnRenamed("t", "t_b"), key, "inner", "t", F.col("t") != F.col("t_b")).drop("form")
+    pairs = lookup_join(spelled, spelled.withColumnRenamed("t", "t_b"), key, "inner", "t", F.col("t") != F.col("t_b"), written=True).drop("form")
     left = lookup_join(rows.withColumnRenamed("id", "id_a"), pairs, ["field_name", "k", "t"], "inner", "id_a")
     right = rows.select("field_name", "k", F.col("t").alias("t_b"), F.col("id").alias("id_b"))
-    both = lookup_join(left, right, ["field_name", "k", "t_b"], "inner", "id_a", F.col("id_a") < F.col("id_b"))
+    both = lookup_join(left, right, ["field_name", "k", "t_b"], "inner", "id_a", F.col("id_a") < F.col("id_b"), written=True)
     return both.select("field_name", "id_a", "id_b").distinct()
